@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash
+import public_tokenizers
+
+from . import licences, minhash, mixing, packing, rules
 from .common import table
 
 
@@ -10,9 +12,25 @@ def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
+
+
+def op7_host_rules(spark, sf_dir):
+    return rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op8_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
-    return {"op4_minhash": op4_minhash}
+    return {"op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op10_packing": op10_packing}
 
 
 def oracle_sql():
-    return {}
+    return {"op7_host_rules": rules.SQL}
