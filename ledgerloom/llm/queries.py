@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import licences, minhash, mixing, packing, rules
+from . import embed, licences, minhash, mixing, packing, pii, rules
 from .common import table
 
 
+def op3_embedding(spark, sf_dir):
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,12 +28,16 @@ def op8_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries():
-    return {"op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op10_packing": op10_packing}
+    return {"op3_embedding": op3_embedding, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_packing": op10_packing}
 
 
 def oracle_sql():
