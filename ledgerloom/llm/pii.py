@@ -151,8 +151,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray, dict[tuple[str, str], float]]:
     """By expectation maximisation over (kind, votes) counts: the share of true
-    spans by kind, P(vote | truth) by labeler (truth, labeler, vote), and the
-    posterior of each pattern. Base kinds start as true, proposals by majority."""
+    spans by kind, P(vote | truth, it votes) by (truth, labeler, vote), and the
+    posterior of each pattern, which starts from the votes' majority. An
+    abstention (0) is no evidence."""
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
     v = np.array([["-0+".index(c) for c in k[1]] for k in keys]).reshape(len(keys), len(VOTES))
@@ -160,12 +161,12 @@ def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) -> tupl
     p = np.clip(0.5 + 0.12 * (v - 1).sum(axis=1), 0.05, 0.95)
     for _ in range(rounds):
         share = (np.bincount(kind, n * p, len(KINDS)) + 1) / (np.bincount(kind, n, len(KINDS)) + 2)
-        rely = np.empty((2, len(VOTES), 3))
+        rely = np.ones((2, len(VOTES), 3))
         for truth, w in enumerate((n * (1 - p), n * p)):
             for k in range(len(VOTES)):
                 # Prior counts say that a labeler is right rather than wrong, which fixes which class is "true".
-                hits = np.bincount(v[:, k], w, 3) + np.array([[8, 2, 2], [2, 2, 8]][truth])
-                rely[truth, k] = hits / hits.sum()
+                hits = np.bincount(v[:, k], w, 3) + np.array([[8, 0, 2], [2, 0, 8]][truth])
+                rely[truth, k, [0, 2]] = hits[[0, 2]] / hits[[0, 2]].sum()
         log = [np.log(rely[truth, np.arange(len(VOTES)), v]).sum(axis=1) for truth in (0, 1)]
         odds = np.log(share[kind] / (1 - share[kind])) + log[1] - log[0]
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))

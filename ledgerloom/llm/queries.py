@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import embed, licences, minhash, mixing, packing, pii, rules
+from . import embed, licences, minhash, mixing, packing, pii, quality, rules
 from .common import table
 
 
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_embedding(spark, sf_dir):
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -37,7 +42,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {"op3_embedding": op3_embedding, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_packing": op10_packing}
+    return {"op1_quality": op1_quality, "op3_embedding": op3_embedding, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_packing": op10_packing}
 
 
 def oracle_sql():
