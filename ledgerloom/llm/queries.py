@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import embed, licences, minhash, mixing, packing, pii, quality, rules
+from . import embed, licences, lines, minhash, mixing, packing, pii, quality, rules
 from .common import table
 
 
@@ -25,6 +26,12 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op6_line_dedup(spark, sf_dir):
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return out.select("doc_id", F.col("_line_dedup.n_lines").cast("long").alias("n_lines"), F.col("_line_dedup.n_removed").cast("long").alias("n_removed"), kept)
+
+
 def op7_host_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -42,8 +49,8 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {"op1_quality": op1_quality, "op3_embedding": op3_embedding, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_packing": op10_packing}
+    return {"op1_quality": op1_quality, "op3_embedding": op3_embedding, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_line_dedup": op6_line_dedup, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_packing": op10_packing}
 
 
 def oracle_sql():
-    return {"op7_host_rules": rules.SQL}
+    return {"op6_line_dedup": lines.SQL, "op7_host_rules": rules.SQL}
