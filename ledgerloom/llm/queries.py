@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embed, licences, lines, minhash, mixing, packing, pii, quality, rules
+from . import embed, licences, lines, minhash, mixing, packing, pii, quality, rules, suffix
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_suffix(spark, sf_dir):
+    return suffix.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_embedding(spark, sf_dir):
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -49,7 +53,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {"op1_quality": op1_quality, "op3_embedding": op3_embedding, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_line_dedup": op6_line_dedup, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_packing": op10_packing}
+    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_embedding": op3_embedding, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_line_dedup": op6_line_dedup, "op7_host_rules": op7_host_rules, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_packing": op10_packing}
 
 
 def oracle_sql():
