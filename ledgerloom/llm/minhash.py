@@ -20,6 +20,7 @@ set, link with nothing and stay. Repeated rows count as copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ BANDS, ROWS, WIDTH, PERCENT = 32, 4, 5, 75
 HASHES = BANDS * ROWS
 #: Signature bits (of 128) that a pair at the threshold agrees on: 112 on average, deviation 3.7.
 LEAST_BITS = 90
-#: Minima of a long signature, and how many (by their low bytes) a pair at the threshold agrees on at least: 384.5 on average, deviation 9.8.
-LONG, LEAST_LONG = 512, 338
+#: Minima of a long signature, and how many (by their low bytes) a pair at the threshold agrees on at least: 769 on average, deviation 13.9.
+LONG, LEAST_LONG = 1024, 706
 #: Words whose hashes a worker keeps at most.
 CACHE = 400_000
 
@@ -135,8 +136,9 @@ def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(long, pa.binary()), pa.array(keys, pa.binary())], names=["id", "long", "keys"])
 
 
-def _across(rows: pa.Table) -> list[np.ndarray]:
-    """Pairs of a pair of blocks that lie in different components, meet first in this band and pass the long signatures."""
+def _across(rows: pa.Table, closest: bool) -> list[np.ndarray]:
+    """Pairs of a pair of blocks that lie in different components and pass the long
+    signatures: each member's closest in each component, or all that meet first in this band."""
     first = {c: rows.column(c)[0].as_py() for c in ("i", "j", "band")}
     comp, n, rep, b = (rows.column(c).to_numpy() for c in ("comp", "n", "rep", "b"))
     values, counts = np.unique(comp, return_counts=True)
@@ -150,8 +152,13 @@ def _across(rows: pa.Table) -> list[np.ndarray]:
             if first["i"] != first["j"]:
                 y &= b != b[x]
             y = np.flatnonzero(y)
-            y = y[(long[y] == long[x]).sum(axis=1) >= LEAST_LONG]
-            y = y[~(own[y] == own[x]).any(axis=1)]
+            alike = (long[y] == long[x]).sum(axis=1)
+            y = y[alike >= LEAST_LONG]
+            if closest:
+                y = y[np.argsort(-alike[alike >= LEAST_LONG], kind="stable")]
+                y = y[np.unique(comp[y], return_index=True)[1]]
+            else:
+                y = y[~(own[y] == own[x]).any(axis=1)]
             u.append(np.maximum(rep[y], rep[x]))
             v.append(np.minimum(rep[y], rep[x]))
     return [np.concatenate(c) if c else np.empty(0, np.int64) for c in (u, v)]
@@ -186,7 +193,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of class representatives that are links by their full sets."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    texts = _texts(docs, pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
     left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
     full = pairs.join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
     return full.mapInArrow(_verified, "u long, v long")
@@ -217,17 +224,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = scratch.cut(connected_components(links, scratch))
 
     # Buckets whose members still lie in different components: the pairs across.
-    placed = members.select("key", "band", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = scratch.cut(placed.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
-    open_ = scratch.cut(open_)
-    still = placed.join(open_, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
-    long = scratch.cut(_texts(docs, scratch.cut(still)).mapInArrow(_long, "id long, long binary, keys binary")).withColumnRenamed("id", "rep")
-    dealt = deal(placed, open_, "rep").join(long, "rep")
-    pairs = scratch.cut(meet(dealt, _across, ["u", "v"]))
-    more = scratch.cut(_verify(pairs, docs))
-    if more.take(1):
-        found = scratch.cut(connected_components(links.union(more), scratch))
+    long = None
+    for closest in (True, False):
+        placed = members.select("key", "band", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        placed = scratch.cut(placed.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+        open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+        open_ = scratch.cut(open_)
+        if long is None:  # components only grow, so these serve both rounds
+            still = scratch.cut(placed.join(open_, "key", "left_semi").select(F.col("rep").alias("id")).distinct())
+            long = scratch.cut(_texts(docs, still).mapInArrow(_long, "id long, long binary, keys binary")).withColumnRenamed("id", "rep")
+        met = meet(deal(placed, open_, "rep").join(long, "rep"), partial(_across, closest=closest), ["u", "v"])
+        more = scratch.cut(_verify(scratch.cut(met.distinct()), docs))
+        if more.take(1):
+            links = links.union(more)
+            found = scratch.cut(connected_components(links, scratch))
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = rows.drop("bands", "b1", "b2").join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("c", "doc_id"))
