@@ -11,7 +11,7 @@ from ..config import GREEDY, MAXFLOW, MatchConfig
 from ..operators.candidates import candidates
 from ..operators.ledger import aggregate_entries
 from ..operators.matching import match
-from ..operators.report import in_pick_order, records, summary
+from ..operators.report import records, summary
 from ..sources.sinks import summary_lines, write_json_array
 from ..sources.tables import bank_rows, ledger_lines, read_csv
 
@@ -30,7 +30,7 @@ def reconcile(bank: DataFrame, entries: DataFrame, config: MatchConfig = GREEDY,
     """Candidates, matching, records and rates of typed bank rows and entries."""
     pairs = candidates(bank, entries, config)
     found = match(pairs, config, strategy)
-    return Reconciliation(bank, entries, pairs, found, records(in_pick_order(found, config), bank, entries, config), summary(found, bank, entries))
+    return Reconciliation(bank, entries, pairs, found, records(found, bank, entries, config), summary(found, bank, entries))
 
 
 def reconcile_csv(spark: SparkSession, bank_path: str, ledger_path: str, config: MatchConfig = GREEDY, strategy: str = "grouped") -> Reconciliation:

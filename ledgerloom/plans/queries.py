@@ -44,7 +44,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.lit(None).cast("string")
     for i, form in enumerate(forms):
         when = F.when(k % len(forms) == i, form).otherwise(when)
-    n = F.concat(F.when(k % 2 == 0, F.lit("-")).otherwise(F.lit("")), k.cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
+    n = F.concat(F.when(k % 2 == 1, F.lit("-")).otherwise(F.lit("")), k.cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
     tails = [n, F.concat(n, F.lit("abc")), F.concat(F.lit("  "), n, F.lit(" ")), F.concat(F.lit("1,"), k.cast("string")), F.concat(F.lit("$"), n), F.lit(""), F.concat(F.lit(".5e1x"), k.cast("string")), F.lit("inf")]
     amount = F.lit(None).cast("string")
     for i, tail in enumerate(tails):
@@ -57,7 +57,7 @@ _TEXTS = """SELECT event_id,
     WHEN 4 THEN md || y || ' ' || hm || ':' || sec WHEN 5 THEN md || y WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 7 THEN strftime(ts, '%Y-%m-%d') WHEN 8 THEN 'bad' WHEN 9 THEN '2/30/24' ELSE '' END AS when_text,
   CASE event_id % 8 WHEN 0 THEN n WHEN 1 THEN n || 'abc' WHEN 2 THEN '  ' || n || ' ' WHEN 3 THEN '1,' || event_id WHEN 4 THEN '$' || n WHEN 5 THEN '' WHEN 6 THEN '.5e1x' || event_id ELSE 'inf' END AS amount_text
 FROM (SELECT event_id, ts, month(ts) || '/' || day(ts) || '/' AS md, lpad(((event_id * 7) % 100)::VARCHAR, 2, '0') AS yy, hour(ts) || ':' || lpad(minute(ts)::VARCHAR, 2, '0') AS hm,
-  lpad(second(ts)::VARCHAR, 2, '0') AS sec, year(ts)::VARCHAR AS y, CASE WHEN event_id % 2 = 0 THEN '-' ELSE '' END || event_id || '.' || lpad((event_id % 100)::VARCHAR, 2, '0') AS n FROM events)"""
+  lpad(second(ts)::VARCHAR, 2, '0') AS sec, year(ts)::VARCHAR AS y, CASE WHEN event_id % 2 = 1 THEN '-' ELSE '' END || event_id || '.' || lpad((event_id % 100)::VARCHAR, 2, '0') AS n FROM events)"""
 
 _FORMATS = ("%m/%d/%y %H:%M", "%m/%d/%y %H:%M:%S", "%m/%d/%y", "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d")
 

@@ -16,8 +16,9 @@ from ..functions.text import tokenize
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, under their exact header names, with ``_row`` (from 0, in file order).
 
-    Short rows are padded with nulls, quotes may hold commas, doubled quotes and
-    line ends; of columns with one name the last counts. An empty file is an
+    Short rows are padded with nulls; a field in quotes may hold commas, doubled
+    quotes and line ends (a field must begin with its quote); of columns with one
+    name the last counts. An empty file is an
     error, a header alone is an empty table.
     """
     head = spark.read.text(path).limit(1).collect()
