@@ -8,21 +8,21 @@ from ledgerloom.plans.pipeline import reconcile_csv
 from ledgerloom.sources.sinks import summary_lines, write_json_array
 from ledgerloom.sources.tables import ledger_lines, read_csv
 
-BANK = 'datetime,amount,description\r\n1/2/24 9:05,-10.00,"Coffee, beans"\r\n1/3/24,20.05,"rent ""x"""\n\n2/30/24,5,bad day\n1/4/24,oops,bad amount\n'
+BANK = "\r\n".join(["datetime,amount,description", '1/2/24 9:05,-10.00,"Coffee, beans"', '1/3/24,20.05,"rent ""x"""', "", "2/30/24,5,bad day", "1/4/24,oops,bad amount", ""])
 LEDGER = "journal_entry_id,datetime,amount,description\nA,1/2/24,4.00,coffee\nB,1/5/24,20,rent x\nA,bad,6.00,\nA,1/9/24,0,beans\n,1/1/24,7,nobody\nC,nope,1,first date is bad\nC,1/1/24,1,second\n"
 
 
 @pytest.fixture
 def files(tmp_path):
     bank, ledger = tmp_path / "bank.csv", tmp_path / "ledger.csv"
-    bank.write_text(BANK)
+    bank.write_bytes(BANK.encode())
     ledger.write_text(LEDGER)
     return str(bank), str(ledger)
 
 
 def test_csv(spark, files, tmp_path):
     rows = read_csv(spark, files[0]).orderBy("_row").collect()
-    assert [r["_row"] for r in rows] == list(range(len(rows)))
+    assert [r["_row"] for r in rows] == [0, 1, 2, 3]
     assert rows[0]["description"] == "Coffee, beans"
     odd = tmp_path / "odd.csv"
     odd.write_text('a,b,a\n1,2\n"x\ny",3,4,5\n')
