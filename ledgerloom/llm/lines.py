@@ -76,7 +76,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     near = halves.join(met, "k", "left_semi").select("h1", "h2").distinct()
     near = scratch.cut(classes.select("h1", "h2", "at").join(near, ["h1", "h2"], "left_semi"))
     wanted = near.select(F.col("at.doc").alias("doc"), F.col("at.t").alias("t")).distinct()
-    lines = _lines(docs.join(bounded(wanted.select(F.col("doc").alias("doc_")).distinct()), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("doc_"), "left_semi"))
+    lines = _lines(docs.select("doc_id", "text").join(bounded(wanted.select(F.col("doc").alias("doc_")).distinct()), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("doc_"), "left_semi"))
     own = near.select("h1", "h2", F.col("at.doc").alias("doc"), F.col("at.t").alias("t"), F.col("at.line").alias("line"))
     texts = scratch.cut(lines.join(own, ["doc", "t", "line"]).dropDuplicates(["doc", "t", "line"]).select(F.struct("doc", "t", "line").alias("at"), "words"))
 
@@ -107,16 +107,18 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dedup(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs with the lines gone from text, and a column ``_line_dedup`` (n_lines, n_removed)."""
-    gone = removed.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("lines").alias("_lines"))
-    text = F.col("text").cast("string")
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(text) == F.col("_t"))
+    """docs with the lines gone from text, and a column ``_line_dedup`` (n_lines, n_removed), in place of any of that name."""
+    p = "_"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    gone = removed.select(*[F.col(c).alias(p + c) for c in ("doc", "t", "lines")])
+    text, lines = F.col("text").cast("string"), F.col(f"{p}lines")
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(f"{p}doc")) & (F.xxhash64(text) == F.col(f"{p}t"))
     split = F.split(text, "\n")
-    kept = F.when(F.col("_lines").isNull(), text).otherwise(F.array_join(F.filter(split, lambda s, i: ~F.array_contains(F.col("_lines"), i)), "\n"))
-    counts = F.struct(F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).alias("n_removed"))
+    kept = F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(split, lambda s, i: ~F.array_contains(lines, i)), "\n"))
+    counts = F.struct(F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
     counts = F.when(text.isNull(), F.struct(F.lit(0).alias("n_lines"), F.lit(0).alias("n_removed"))).otherwise(counts)
-    joined = docs.join(gone, on, "left").withColumn("_line_dedup", counts)
-    return joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], "_line_dedup")
+    return docs.join(gone, on, "left").select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "_line_dedup"], counts.alias("_line_dedup"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -155,6 +155,8 @@ def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) -> tupl
     posterior of each pattern, which starts from the votes' majority. An
     abstention (0) is no evidence."""
     keys = sorted(counts)
+    if not keys:
+        return {}, np.full((2, len(VOTES), 3), 0.5), {}
     n = np.array([counts[k] for k in keys], float)
     v = np.array([["-0+".index(c) for c in k[1]] for k in keys]).reshape(len(keys), len(VOTES))
     kind = np.array([KINDS.index(k[0]) for k in keys], int)
@@ -170,7 +172,7 @@ def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) -> tupl
         log = [np.log(rely[truth, np.arange(len(VOTES)), v]).sum(axis=1) for truth in (0, 1)]
         odds = np.log(share[kind] / (1 - share[kind])) + log[1] - log[0]
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return dict(zip(KINDS, share.tolist())) if len(keys) else {}, rely, dict(zip(keys, p.tolist()))
+    return dict(zip(KINDS, share.tolist())), rely, dict(zip(keys, p.tolist()))
 
 
 def _features(kind: str, pattern: str) -> np.ndarray:
