@@ -26,64 +26,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK, Scratch, bounded
-from .rules import let
 
 LEAST_WORDS, EDIT_WORDS = 5, 10
 _LAST = 2**63 - 1
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), f"[{BLANK}]+"), lambda w: w != "")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc (null: last), t (hash of the text) and text."""
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
+def _count(s: Column, c: str) -> Column:
+    """How often a one-byte string stands in s."""
+    return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c), F.lit("")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, t, line (from 0) and the words of every line that is long enough."""
-    lines = _keyed(docs).where("text is not null").select("doc", "t", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return lines.select("doc", "t", "line", _words(F.col("raw")).alias("words")).where(F.size("words") >= LEAST_WORDS)
+    """doc, t, line (from 0), the line in lower case with single spaces between
+    its words, and the number of words, of every line that is long enough."""
+    odd = F.col("text").startswith(" ") | F.col("text").endswith(" ")
+    for s in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"):
+        odd |= F.contains(F.col("text"), F.lit(s))
+    rows = _keyed(docs).where("text is not null").select("doc", "t", odd.alias("odd"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    plain = F.when(F.col("odd"), F.trim(F.regexp_replace("raw", f"[{BLANK}]+", " "))).otherwise(F.col("raw"))
+    rows = rows.select("doc", "t", "line", plain.alias("words")).where("words <> ''")
+    return rows.withColumn("n", _count(F.col("words"), " ") + 1).where(F.col("n") >= LEAST_WORDS)
+
+
+def _first(words: Column, n: Column) -> Column:
+    return F.call_function("substring_index", words, F.lit(" "), n)
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """struct of up to four keys: the first and last h words, for h of this length and of one word less."""
+def _halves(words: Column, n: Column) -> list[Column]:
+    """Up to four keys: the first and last h words, for h of this length and of one word less."""
 
     def key(side: int, h: Column) -> Column:
-        part = F.slice(words, 1, h) if side == 0 else F.slice(words, n - h + 1, h)
-        return F.when(n >= EDIT_WORDS, F.xxhash64(F.lit(side), h, part))
+        return F.xxhash64(F.lit(side), h, _first(words, h if side == 0 else -h))
 
     h, g = F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")
-    return F.struct(key(0, h).alias("k0"), key(1, h).alias("k1"), F.when(g < h, key(0, g)).alias("k2"), F.when(g < h, key(1, g)).alias("k3"))
+    use, also = n >= EDIT_WORDS, (n >= EDIT_WORDS) & (g < h)
+    return [F.when(use, key(0, h)).alias("k0"), F.when(use, key(1, h)).alias("k1"), F.when(also, key(0, g)).alias("k2"), F.when(also, key(1, g)).alias("k3")]
 
 
-def _without(words: Column, i: Column) -> Column:
-    return F.concat(F.slice(words, 1, i), F.slice(words, i + 2, F.size(words)))
+def _without(words: Column, n: Column, i: Column) -> Column:
+    """The line less its i-th word; the line itself for -1."""
+    rest = F.concat_ws(" ", F.nullif(_first(words, i), F.lit("")), F.nullif(_first(words, i - n + 1), F.lit("")))
+    return F.when(i < 0, words).otherwise(rest)
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, t and the numbers of the lines that go, for documents that lose some."""
-    hashed = _lines(docs).select("doc", "t", "line", let(F.col("words"), lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), F.size(w).alias("n"), _halves(w, F.size(w)).alias("k"))).alias("v"))
-    hashed = hashed.select("doc", "t", "line", "v.h1", "v.h2", "v.n", "v.k.*")
+    words, n = F.col("words"), F.col("n")
+    hashed = scratch.cut(_lines(docs).select("doc", "t", "line", "n", F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2"), *_halves(words, n)))
     place = F.struct("doc", "t", "line")
     first = [F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]
     classes = scratch.cut(hashed.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies"), *first))
 
-    halves = classes.where(F.col("n") >= EDIT_WORDS).select("h1", "h2", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("k"))
+    halves = classes.where(n >= EDIT_WORDS).select("h1", "h2", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("k"))
     met = halves.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("k")
     near = halves.join(met, "k", "left_semi").select("h1", "h2").distinct()
     near = scratch.cut(classes.select("h1", "h2", "at").join(near, ["h1", "h2"], "left_semi"))
-    wanted = near.select(F.col("at.doc").alias("doc"), F.col("at.t").alias("t")).distinct()
-    lines = _lines(docs.select("doc_id", "text").join(bounded(wanted.select(F.col("doc").alias("doc_")).distinct()), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("doc_"), "left_semi"))
-    own = near.select("h1", "h2", F.col("at.doc").alias("doc"), F.col("at.t").alias("t"), F.col("at.line").alias("line"))
-    texts = scratch.cut(lines.join(own, ["doc", "t", "line"]).dropDuplicates(["doc", "t", "line"]).select(F.struct("doc", "t", "line").alias("at"), "words"))
+    wanted = near.select(F.col("at.doc").alias("doc_")).distinct()
+    lines = _lines(docs.select("doc_id", "text").join(bounded(wanted), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("doc_"), "left_semi"))
+    own = near.select(F.col("at.doc").alias("doc"), F.col("at.t").alias("t"), F.col("at.line").alias("line"))
+    texts = scratch.cut(lines.join(own, ["doc", "t", "line"]).dropDuplicates(["doc", "t", "line"]).select(place.alias("at"), "words", "n"))
 
     # The variants of every candidate; i is the word left out, -1 for the whole line.
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    variants = let(hashes, lambda w: F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64(w).alias("k"))), F.transform(w, lambda x, i: F.struct(i.alias("i"), F.xxhash64(_without(w, i)).alias("k")))))
-    emitted = texts.select("at", F.explode(variants).alias("v")).select("at", "v.i", "v.k")
+    emitted = texts.select("at", "words", "n", F.explode(F.sequence(F.lit(-1), n - 1)).alias("i"))
+    emitted = scratch.cut(emitted.select("at", "i", F.xxhash64(_without(words, n, F.col("i"))).alias("k")))
     shared = emitted.groupBy("k").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("k")
     emitted = scratch.cut(emitted.join(shared, "k", "left_semi"))
     same = emitted.groupBy("k", "i").agg(F.min("at").alias("same"))
@@ -94,15 +105,15 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     resized = F.when(F.col("i") >= 0, F.when(F.col("whole").isNotNull(), hit(F.col("whole.at"), F.col("i"), F.lit(-1)))).otherwise(F.when(F.col("less").isNotNull(), hit(F.col("less.at"), F.lit(-1), F.col("less.i"))))
     hits = emitted.join(same, ["k", "i"]).join(other, "k").select("at", F.explode(F.array_compact(F.array(replaced, resized))).alias("x"))
     best = hits.groupBy("at").agg(F.min("x").alias("x")).where("x.found < at").select("at", "x.found", "x.mine", "x.theirs")
-    # Verified: equal but for the words left out, each side keeping at least the other's count less one.
-    left = texts.withColumnRenamed("words", "a")
-    right = texts.select(F.col("at").alias("found"), F.col("words").alias("b"))
-    cut = lambda w, i: F.when(F.col(i) < 0, F.col(w)).otherwise(_without(F.col(w), F.col(i)))
-    gone = best.join(left, "at").join(right, "found").where((cut("a", "mine") == cut("b", "theirs")) & (F.abs(F.size("a") - F.size("b")) <= 1)).select("at")
+    # Verified: the lines are equal but for the words left out, one on either side at most.
+    left = texts.select("at", F.col("words").alias("a"), F.col("n").alias("n_a"))
+    right = texts.select(F.col("at").alias("found"), F.col("words").alias("b"), F.col("n").alias("n_b"))
+    alike = _without(F.col("a"), F.col("n_a"), F.col("mine")) == _without(F.col("b"), F.col("n_b"), F.col("theirs"))
+    gone = best.join(left, "at").join(right, "found").where(alike).select("at")
 
     verdicts = classes.join(gone.withColumn("gone", F.lit(True)), "at", "left").where("copies > 1 or gone").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     places = hashed.select("doc", "t", "line", "h1", "h2")
-    out = places.join(verdicts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.col("gone") | (F.struct("doc", "t", "line") != F.col("at")))
+    out = places.join(verdicts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.col("gone") | (place != F.col("at")))
     return out.groupBy("doc", "t").agg(F.collect_set("line").alias("lines"))
 
 
@@ -114,9 +125,8 @@ def dedup(docs: DataFrame, removed: DataFrame) -> DataFrame:
     gone = removed.select(*[F.col(c).alias(p + c) for c in ("doc", "t", "lines")])
     text, lines = F.col("text").cast("string"), F.col(f"{p}lines")
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(f"{p}doc")) & (F.xxhash64(text) == F.col(f"{p}t"))
-    split = F.split(text, "\n")
-    kept = F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(split, lambda s, i: ~F.array_contains(lines, i)), "\n"))
-    counts = F.struct(F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
+    kept = F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(lines, i)), "\n"))
+    counts = F.struct((_count(text, "\n") + 1).alias("n_lines"), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
     counts = F.when(text.isNull(), F.struct(F.lit(0).alias("n_lines"), F.lit(0).alias("n_removed"))).otherwise(counts)
     return docs.join(gone, on, "left").select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "_line_dedup"], counts.alias("_line_dedup"))
 
