@@ -145,3 +145,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     of_class = of_class.select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("l"), F.coalesce("component", "rep").alias("c"))
     out = rows.drop("vec", "label").join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("c", "vec_id"))
     return out.select("vec_id", F.coalesce("l", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The same in DuckDB SQL, over all pairs.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {COSINE}),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""

@@ -162,3 +162,36 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(labels, ",").alias("labels"),
         F.coalesce(F.array_max(F.transform("hits", lambda h: h.score)), F.lit(0.0)).alias("score"),
     )
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def sql() -> str:
+    """The same in DuckDB SQL."""
+    words = [(t, p, w) for t, own in enumerate(_NOTICES) for p, w in enumerate(own)]
+    must = []
+    for t, own in enumerate(_NOTICES):
+        for phrase in TEMPLATES[t][2]:
+            key = phrase.split()
+            start = next(k for k in range(len(own)) if own[k : k + len(key)] == key)
+            must += [(t, start + k, w) for k, w in enumerate(key)]
+    base = " UNION ALL ".join("SELECT a.doc_id, a.i, '" + label + "' AS label FROM w a " + " ".join(f"JOIN w x{k} ON x{k}.doc_id = a.doc_id AND x{k}.i = a.i + {k} AND x{k}.word = '{word}'" for k, word in enumerate(p.split())) for p, label in BASE.items())
+    return rf"""
+WITH t(t, p, word) AS (VALUES {_values(words)}), must(t, p, word) AS (VALUES {_values(must)}), name(t, label) AS (VALUES {_values([(t, x[0]) for t, x in enumerate(TEMPLATES)])}),
+l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM l),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM w GROUP BY word),
+idf AS (SELECT word, round(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) + 1e-3, 6) AS weight FROM (SELECT DISTINCT word FROM t) LEFT JOIN df USING (word)),
+rare AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, weight FROM w JOIN idf USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) <= {RARE}),
+cand AS (SELECT doc_id, t.t, w.i - t.p AS start FROM rare JOIN w USING (doc_id, word) JOIN t USING (word) GROUP BY ALL HAVING count(*) >= 2),
+ok AS (SELECT doc_id, c.t, c.start FROM cand c JOIN (SELECT *, count(*) OVER (PARTITION BY t) AS need FROM must) m ON m.t = c.t JOIN w USING (doc_id) WHERE w.i = c.start + m.p AND w.word = m.word GROUP BY doc_id, c.t, c.start HAVING count(*) = any_value(need)),
+total AS (SELECT t, sum(weight) AS total FROM t JOIN idf USING (word) GROUP BY t),
+score AS (SELECT doc_id, max(part) AS score FROM (SELECT doc_id, o.t, o.start, least(round(sum(weight) / any_value(total), 6), 1.0) AS part FROM ok o JOIN t ON t.t = o.t JOIN total ON total.t = o.t JOIN w USING (doc_id) JOIN idf ON idf.word = t.word WHERE w.i = o.start + t.p AND w.word = t.word GROUP BY ALL) GROUP BY doc_id),
+base AS ({base}),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM ok JOIN name USING (t)) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM l LEFT JOIN b USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN score USING (doc_id)
+"""

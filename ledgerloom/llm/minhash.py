@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import deal, meet
-from .common import Scratch, bounded
+from .common import WORD, Scratch, bounded
 from .components import connected_components
 
 BANDS, ROWS, WIDTH, PERCENT = 32, 4, 5, 75
@@ -242,3 +242,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = rows.drop("bands", "b1", "b2").join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The same in DuckDB SQL, over all documents that share a shingle.
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i:i+{WIDTH - 1}], ' ')) AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {WIDTH - 1}, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {PERCENT} * (x.n + y.n - shared)),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+"""
