@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
@@ -75,8 +75,6 @@ def islands(pairs: DataFrame, config: MatchConfig) -> DataFrame:
     Amounts are cut into buckets of two tolerances; a gap of more than one
     bucket separates islands. Only the distinct buckets pass through the window.
     """
-    from pyspark.sql import Window
-
     width = 2 * config.tolerance
     bucket = lambda c: F.floor(F.col(c) / width)
     used = pairs.select(F.explode(F.array(bucket("bank_abs"), bucket("gl_abs"))).alias("bucket")).distinct()

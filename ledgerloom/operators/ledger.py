@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions.text import concat_nonempty, tokenize
+from .numbering import numbered
 
 
 def aggregate_entries(lines: DataFrame, config: MatchConfig, number: bool = True) -> DataFrame:
@@ -14,8 +15,8 @@ def aggregate_entries(lines: DataFrame, config: MatchConfig, number: bool = True
 
     First values follow line_no, never the order in which rows arrive. An
     entry's lines meet in one row; that is bounded by the entry, and the fast
-    sum and the firsts combine before the shuffle. gl_idx comes from a window
-    over the entries; leave it out with ``number`` where indexes are not needed.
+    sum and the firsts combine before the shuffle. gl_idx takes a sort of the
+    entries; leave it out with ``number`` where indexes are not needed.
     """
     rows = lines if config.null_keys else lines.where(F.col("journal_entry_id").isNotNull())
     value = F.coalesce("amount", F.lit(0.0)) if config.bad_amount_zero else F.col("amount")
@@ -34,10 +35,11 @@ def aggregate_entries(lines: DataFrame, config: MatchConfig, number: bool = True
         dated = F.when(F.col("ts").isNotNull(), F.col("line_no"))
         when, stamp = F.min_by("datetime", dated), F.min_by("ts", dated)
     out = rows.groupBy("journal_entry_id").agg(F.min("line_no").alias("_first"), when.alias("gl_datetime"), stamp.alias("gl_ts"), total.alias("gl_amount"), text.alias("gl_description"))
-    index = F.lit(None).cast("long")
     if number:
-        index = (F.row_number().over(Window.orderBy("_first" if config.entry_order == "first_seen" else "journal_entry_id")) - 1).cast("long")
-    return out.select(index.alias("gl_idx"), "journal_entry_id", "gl_datetime", "gl_ts", F.to_date("gl_ts").alias("gl_day"), "gl_amount", "gl_description", tokenize(F.col("gl_description")).alias("gl_tokens"))
+        out = numbered(out, ["_first"] if config.entry_order == "first_seen" else ["journal_entry_id"], "gl_idx")
+    else:
+        out = out.withColumn("gl_idx", F.lit(None).cast("long"))
+    return out.select("gl_idx", "journal_entry_id", "gl_datetime", "gl_ts", F.to_date("gl_ts").alias("gl_day"), "gl_amount", "gl_description", tokenize(F.col("gl_description")).alias("gl_tokens"))
 
 
 def entry_dates(lines: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from .candidates import islands
+from .numbering import cut
 
 SCHEMA = "bank_idx long, gl_idx long, score double"
 #: Pairs of an island that one task may hold; larger islands go through rounds first.
@@ -66,22 +65,6 @@ def _maximum(part: pd.DataFrame) -> pd.DataFrame:
     return pairs.merge(part[["bank_idx", "gl_idx", "score"]], on=["bank_idx", "gl_idx"])
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df from the shared checkpoint folder, so that rounds don't pile up in one plan."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-            sc.setCheckpointDir(set_dir)
-        else:
-            import tempfile
-
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dominance_round(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(taken, still live): pairs that are first for both their ends are what the
     greedy scan takes, since the order of pairs is strict."""
@@ -94,14 +77,14 @@ def dominance_round(live: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def match_rounds(pairs: DataFrame, config: MatchConfig, hand_over: int = 0) -> DataFrame:
     """Greedy matching in DataFrame rounds; at most ``hand_over`` live pairs go to one task a group at the end."""
-    live, done = _cut(pairs), None
+    live, done = cut(pairs), None
     while True:
         n = live.count()
         if n <= hand_over:
             break
         taken, rest = dominance_round(live)
-        taken = _cut(taken.select("bank_idx", "gl_idx", "score"))
-        live = _cut(rest)
+        taken = cut(taken.select("bank_idx", "gl_idx", "score"))
+        live = cut(rest)
         done = taken if done is None else done.union(taken)
     if n:
         last = match_grouped(live, config)
@@ -130,7 +113,7 @@ def match(pairs: DataFrame, config: MatchConfig, strategy: str = "grouped", isla
     if strategy == "rounds":
         return match_rounds(pairs, config)
     if strategy == "auto" and config.matcher == "greedy":
-        placed = _cut(islands(pairs, config))
+        placed = cut(islands(pairs, config))
         large = placed.groupBy("island").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > island_pairs).select("island")
         own = placed.join(large, "island", "left_semi").drop("island")
         small = placed.join(large, "island", "left_anti").drop("island")

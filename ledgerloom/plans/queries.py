@@ -16,6 +16,7 @@ from ..functions.text import concat_nonempty, indel_ratio, jaccard, tokenize
 from ..operators import candidates as C
 from ..operators import matching as M
 from ..operators import report as R
+from ..operators.numbering import numbered
 from ..operators.ledger import aggregate_entries, entry_dates
 from ..sources import tables as S
 from ..sources.sinks import json_lines
@@ -76,9 +77,7 @@ def parse_amounts(spark, sf_dir):
 
 def row_index(spark, sf_dir):
     bank, _ = _ev(spark, sf_dir)
-    from pyspark.sql import Window
-
-    return bank.select("bank_idx", (F.row_number().over(Window.orderBy("bank_idx")) - 1).cast("long").alias("row_index"))
+    return numbered(bank.select("bank_idx"), ["bank_idx"], "row_index")
 
 
 def _holed(spark, sf_dir):

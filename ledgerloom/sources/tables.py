@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..config import MatchConfig
 from ..functions.parse import parse_amount_prefix, parse_amount_whole, parse_ts
 from ..functions.text import tokenize
+from ..operators.numbering import count_up
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -28,20 +29,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
     rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
     last = {name: i for i, name in enumerate(names)}
-    return numbered(rows.select(*[F.col(f"_c{i}").alias(name) for name, i in last.items()]), "_row")
-
-
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with 0-based row numbers in reading order, from a count per partition (no global sort)."""
-    tagged = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = {r["p"]: r["n"] for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
-    starts, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        starts.append(total)
-        total += counts.get(p, 0)
-    offset = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), part.cast("int")) if len(starts) > 1 else F.lit(0)
-    return tagged.withColumn(name, (F.col("_at") - F.shiftleft(part, 33) + offset).cast("long")).drop("_at")
+    rows = rows.select(*[F.col(f"_c{i}").alias(name) for name, i in last.items()], F.monotonically_increasing_id().alias("_at"))
+    return count_up(rows, "_at", "_row")
 
 
 def column(df: DataFrame, name: str, default: Column | None = None) -> Column:
