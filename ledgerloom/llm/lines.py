@@ -22,7 +22,7 @@ they lose the same lines; all columns and rows of the input return.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK, Scratch, bounded
@@ -93,8 +93,18 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.cut(lines.join(own, ["doc", "t", "line"]).dropDuplicates(["doc", "t", "line"]).select(place.alias("at"), "words", "n"))
 
     # The variants of every candidate; i is the word left out, -1 for the whole line.
-    emitted = texts.select("at", "words", "n", F.explode(F.sequence(F.lit(-1), n - 1)).alias("i"))
-    emitted = scratch.cut(emitted.select("at", "i", F.xxhash64(_without(words, n, F.col("i"))).alias("k")))
+    # A line's hash is the xor of its words' hashes with their places, so a variant's
+    # follows from running xors: places before i as they are, those behind it one less.
+    in_line = Window.partitionBy("at").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_line = Window.partitionBy("at").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spelled = texts.select("at", F.posexplode(F.split("words", " ")).alias("i", "w"))
+    spelled = spelled.select("at", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
+    xor = lambda c, over: F.bit_xor(c).over(over)
+    summed = spelled.select("at", "i", "here", xor("here", in_line).alias("to"), xor("moved", in_line).alias("moved_to"), xor("moved", of_line).alias("moved_all"), xor("here", of_line).alias("all"))
+    less = F.struct("i", F.col("to").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("moved_all")).bitwiseXOR(F.col("moved_to")).alias("k"))
+    whole = F.struct(F.lit(-1).alias("i"), F.col("all").alias("k"))
+    emitted = summed.select("at", F.explode(F.when(F.col("i") == 0, F.array(whole, less)).otherwise(F.array(less))).alias("v"))
+    emitted = scratch.cut(emitted.select("at", "v.i", "v.k"))
     shared = emitted.groupBy("k").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("k")
     emitted = scratch.cut(emitted.join(shared, "k", "left_semi"))
     same = emitted.groupBy("k", "i").agg(F.min("at").alias("same"))
