@@ -45,11 +45,12 @@ def _count(s: Column, c: str) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc, t, line (from 0), the line in lower case with single spaces between
     its words, and the number of words, of every line that is long enough."""
-    odd = F.col("text").startswith(" ") | F.col("text").endswith(" ")
-    for s in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"):
-        odd |= F.contains(F.col("text"), F.lit(s))
-    rows = _keyed(docs).where("text is not null").select("doc", "t", odd.alias("odd"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
-    plain = F.when(F.col("odd"), F.trim(F.regexp_replace("raw", f"[{BLANK}]+", " "))).otherwise(F.col("raw"))
+    raw = F.col("raw")
+    odd = raw.startswith(" ") | raw.endswith(" ")
+    for s in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd |= F.contains(raw, F.lit(s))
+    rows = _keyed(docs).where("text is not null").select("doc", "t", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    plain = F.when(odd, F.trim(F.regexp_replace(raw, f"[{BLANK}]+", " "))).otherwise(raw)
     rows = rows.select("doc", "t", "line", plain.alias("words")).where("words <> ''")
     return rows.withColumn("n", _count(F.col("words"), " ") + 1).where(F.col("n") >= LEAST_WORDS)
 
