@@ -30,3 +30,28 @@ def test_base_and_labels(documents):
 def test_no_rows(documents):
     assert X.scan(documents([])).count() == 0
     assert X.scan(documents([(None, None), (1, "cc by"), (1, "cc by")])).where("n_base = 1").count() == 2
+
+
+def _labels(text):
+    """Base labels, and those of all templates whose key phrases stand at their places, by trying every place."""
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    found = {label for p, label in X.BASE.items() if f" {p} " in f" {' '.join(words)} "}
+    for (label, _, phrases), own in zip(X.TEMPLATES, X._NOTICES):
+        keys = [(next(k for k in range(len(own)) if own[k : k + len(p.split())] == p.split()), p.split()) for p in phrases]
+        if any(all(i + s >= 0 and words[i + s : i + s + len(k)] == k for s, k in keys) for i in range(-len(own), len(words))):
+            found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_every_notice_of_a_file(documents):
+    notice = {label: text for label, text, _ in X.TEMPLATES}
+    texts = [
+        notice["agpl-3.0"] + " Released under the MIT License.", " ".join(notice[k] for k in ("apache-2.0", "mpl-2.0", "unlicense")), "\n\n".join(text for _, text, _ in X.TEMPLATES),
+        "mozilla commons creative unencumbered endorse redistribution attribution affero lesser fee hereby " * 40 + "Released under the MIT License. " + "binary charge domain " * 300 + notice["gpl-2.0"],
+        "mit license " * 9 + notice["apache-2.0"] + " version 2.0 apache license",
+    ]
+    rows = [*enumerate(texts), *((100 + i, "plain words license version") for i in range(20))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in X.scan(documents(rows)).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [_labels(t) for t in texts]
+    assert got[0][0] == "agpl-3.0,gpl,mit" and got[1][0] == "apache-2.0,mpl-2.0,unlicense" and got[2][0].count(",") >= 14
+    assert [got[i][1] for i in range(3)] == [1.0] * 3
