@@ -39,7 +39,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")  # a r
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}([^\s,;'\"]+)")
+_SECRET = re.compile(
+    r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)['"]?[\x20\t]{0,3}[:=][\x20\t]{0,3}"""
+    r"""(?:"((?:[^"\\\r\n]++|\\.)++)"|'((?:[^'\\\r\n]++|\\.)++)'|['"]?([^\s,;'"]+))"""  # to the closing quote of the line, or else one word
+)
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
@@ -105,7 +108,7 @@ def _mod97(s: str) -> bool:
 
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if "=" in text or ":" in text:
-        yield from (("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text))
+        yield from (("secret", *m.span(m.lastindex)) for m in _SECRET.finditer(text))
     if _DIGIT.search(text):
         if "-" in text:
             yield from (("ssn", m.start(), m.end()) for m in _SSN.finditer(text))

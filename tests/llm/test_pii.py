@@ -54,3 +54,17 @@ def test_find(documents):
     secret = next(r for r in got if r["doc_id"] == 4)["spans"]
     assert secret.split(",")[0].startswith("email:5:14") and "secret:" in secret
     assert X.find(documents([])).count() == 0
+
+
+QUOTED = {
+    'token = "04dbeb77a1c9"': "04dbeb77a1c9", "API_KEY: 'sk-93,fa;71\"e0'": "sk-93,fa;71\"e0", '{"user": "jo", "password": "hunter22xyz9"}': "hunter22xyz9", "{'api-key':'q1w2e3r4t5'}": "q1w2e3r4t5",
+    'secret="ab\\"cd 12 ef"; x="y"': 'ab\\"cd 12 ef', 'pwd="9f8e7d6c5b\nnext': "9f8e7d6c5b", "passwd=plain77word, \"x\"": "plain77word", 'token = ""': None,
+}
+
+
+def test_quoted_secrets(documents):
+    rows = list(enumerate(QUOTED))
+    got = {r["doc_id"]: r["spans"] for r in X.find(documents(rows)).collect()}
+    for d, text in rows:
+        value = QUOTED[text]
+        assert got[d] == ("" if value is None else f"secret:{text.index(value)}:{text.index(value) + len(value)}"), text
