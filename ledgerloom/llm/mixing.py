@@ -9,8 +9,10 @@ Fitting: documents are counted by exact length per source. A source's target
 is whole copies of everything plus a remaining budget; of that, each length
 gives its share (rounded so that the running total stays below the ideal one)
 until ``RESERVE`` words are left, which a bounded-knapsack dynamic programme
-over the lengths' unused counts fills as closely as they allow. Documents of a
-length are then taken in the order of a seeded hash, by salted ranks.
+over the lengths' unused counts fills as closely as they allow. Where it leaves
+a gap, more is taken back and the programme runs again, until the budget is met
+or no more need be taken back (see ``fit``): no choice comes closer. Documents
+of a length are then taken in the order of a seeded hash, by salted ranks.
 
 Defined results: null text has size 0 and takes 0; null sources form one
 source; repeated rows are separate documents; an empty corpus gives no rows.
@@ -51,7 +53,7 @@ def targets(totals: DataFrame, cap: float = CAP) -> DataFrame:
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> dict[int, int]:
     """Counts per length (at most those given) whose words come closest to the budget from below."""
-    first = np.full(budget + 1, -1, np.int64)  # the item by which a sum was first reached
+    first = np.full(budget + 1, -1, np.int32)  # the item by which a sum was first reached
     reach = np.zeros(budget + 1, bool)
     reach[0] = True
     items: list[tuple[int, int]] = []
@@ -77,8 +79,28 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> dict[int,
     return taken
 
 
+def _shares(lengths: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """Documents of each length, in proportion and rounded down to at most so many words."""
+    out, total = np.zeros(len(lengths), np.int64), int((lengths * counts).sum())
+    ideal = taken = 0.0
+    for i in np.argsort(-lengths):
+        if lengths[i]:
+            ideal += lengths[i] * counts[i] * (max(0, words) / total)
+            out[i] = max(0, min(counts[i], int((ideal - taken) // lengths[i])))
+            taken += out[i] * lengths[i]
+    return out
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, target: float, reserve: int = RESERVE) -> tuple[int, np.ndarray]:
-    """Whole copies of every document, and how many documents of each length are taken once more."""
+    """Whole copies of every document, and how many documents of each length are taken once more.
+
+    The last try takes back twice as many documents of each length as the
+    longest has words. That is enough: going from the shares to the closest
+    best choice, documents can be added and dropped in an order that keeps the
+    running sum within the longest length of 0; a sum that came twice would
+    mark equal words dropped and added, which a closer choice leaves alone. So
+    the sums differ, and fewer than twice the longest length are dropped.
+    """
     extra = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if not total:
@@ -87,19 +109,19 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, reserve: int = R
     budget = min(int(round(target)) - copies * total, total)
     if copies >= CAP or budget <= 0:
         return copies, extra
-    greedy = max(0, budget - reserve)
-    ideal = taken = 0.0
-    for i in np.argsort(-lengths):
-        if lengths[i]:
-            ideal += lengths[i] * counts[i] * (greedy / total)
-            extra[i] = max(0, min(counts[i], int((ideal - taken) // lengths[i])))
-            taken += extra[i] * lengths[i]
-    left = budget - int((extra * lengths).sum())
-    open_ = np.flatnonzero((counts > extra) & (lengths > 0) & (lengths <= left))
-    open_ = open_[np.argsort(-lengths[open_])]
-    for length, more in knapsack(lengths[open_], (counts - extra)[open_], left).items():
-        extra[lengths == length] += more
-    return copies, extra
+    first = _shares(lengths, counts, budget - reserve)
+    enough = 2 * int(lengths[counts > 0].max())
+    while True:
+        last = reserve >= min(budget, enough * enough // 2)
+        extra = np.maximum(first - enough, 0) if last else _shares(lengths, counts, budget - reserve)
+        left = budget - int((extra * lengths).sum())
+        open_ = np.flatnonzero((counts > extra) & (lengths > 0) & (lengths <= left))
+        open_ = open_[np.argsort(-lengths[open_])]
+        for length, more in knapsack(lengths[open_], (counts - extra)[open_], left).items():
+            extra[lengths == length] += more
+        if last or int((extra * lengths).sum()) == budget:
+            return copies, extra
+        reserve *= 4
 
 
 def mix(docs: DataFrame, cap: int = CAP, seed: int = SEED) -> DataFrame:

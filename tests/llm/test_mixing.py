@@ -18,6 +18,22 @@ def test_knapsack_against_all_sums():
         assert all(v <= dict(zip(lengths.tolist(), counts.tolist()))[k] for k, v in taken.items())
 
 
+def test_few_long_texts_against_all_sums():
+    rng = np.random.default_rng(3)
+    cases = [([100_000, 60_000], [1, 1], 100_000), ([50_000, 50_001, 70_003], [3, 2, 4], 290_004), ([500, 3], [2_000, 1], 700_201)]
+    cases += [(rng.choice(np.arange(20, 400), 4, replace=False) * 7 + 1, rng.integers(1, 5, 4), int(rng.integers(3_000, 9_000))) for _ in range(40)]
+    for lengths, counts, target in cases:
+        lengths, counts = np.array(lengths, np.int64), np.array(counts, np.int64)
+        for reserve in (X.RESERVE, 50):
+            copies, extra = X.fit(lengths, counts, float(target), reserve)
+            assert (0 <= extra).all() and (extra <= counts).all()
+            sums = {0}
+            for w, c in zip(lengths.tolist(), counts.tolist()):
+                sums = {s + w * k for s in sums for k in range(c + 1)}
+            budget = min(target - copies * int((lengths * counts).sum()), int((lengths * counts).sum()))
+            assert int((extra * lengths).sum()) == (max(s for s in sums if s <= budget) if copies < X.CAP else 0), (lengths, counts, target)
+
+
 def _targets(sizes):
     """Water-filling, source by source."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
