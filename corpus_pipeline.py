@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; what it returns is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
 
-Rows that repeat a doc_id share a fate: all go, or stay, and get as many copies.
+Near-duplicates and mixing decide on each row by a key of its own, stored once,
+so rows without a doc_id and rows that repeat one are documents like others.
 """
 
 from __future__ import annotations
@@ -30,15 +31,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id."""
-    found = Scratch(spark).cut(minhash.near_duplicates(docs))
-    dropped = found.where("not kept").select("doc_id").distinct()
-    return docs.join(bounded(dropped), "doc_id", "left_anti").select(docs.columns)
+    scratch = Scratch(spark)
+    keyed = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = scratch.cut(minhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"))).select(F.col("doc_id").alias("_row"), "component_id")
+    # A row of each component stays: least doc_id (none: last), then least key.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("at")).select("at._row")
+    dropped = scratch.cut(found.join(kept, "_row", "left_anti").select("_row"))
+    return keyed.join(bounded(dropped), "_row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = Scratch(spark).cut(mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id"))
-    taken = docs.join(bounded(mixed), F.col("doc_id").eqNullSafe(F.col("_id")))
+    scratch = Scratch(spark)
+    keyed = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    mixed = scratch.cut(mixing.mix(keyed, also=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies")))
+    taken = keyed.join(bounded(mixed), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 

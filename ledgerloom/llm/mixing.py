@@ -30,9 +30,9 @@ from .common import WORD, Scratch, salted_rank
 CAP, SEED, RESERVE = 3, 17, 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of the whole text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, source and the number of words of the whole text; other columns as they are."""
+    return docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(totals: DataFrame, cap: float = CAP) -> DataFrame:
@@ -124,10 +124,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, reserve: int = R
         reserve *= 4
 
 
-def mix(docs: DataFrame, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document."""
+def mix(docs: DataFrame, cap: int = CAP, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every document; other columns of docs on request."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.cut(sizes(docs))
+    rows = scratch.cut(sizes(docs, *also))
     hist = scratch.cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     aims = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cap)
     counted = hist.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -141,4 +141,4 @@ def mix(docs: DataFrame, cap: int = CAP, seed: int = SEED) -> DataFrame:
     ranked = salted_rank(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), ["source", "size"], ["h", "doc_id"])
     out = ranked.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     out = out.withColumn("copies", F.col("base") + (F.col("rank") < F.col("extra")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*also, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
