@@ -13,7 +13,7 @@ batch of documents, so a frequent string does not fill one task.
 
 Sorting. The other segments meet by minimiser, equal ones once per batch.
 Within a minimiser, the texts after the anchors (suffixes) and, read
-backwards, those before it are sorted: multikey quicksort on 8-byte keys to a
+backwards, those before it are sorted: by stable sorts of 8-byte keys to a
 depth of ``SHALLOW`` bytes, then a blind trie for each group with a longer
 common prefix, which looks at the bytes where its branches part and compares
 with one leaf. Neighbours' common prefixes then tell for every window offset
