@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 BLOCK = 512
+#: Bytes of rows that are gathered before groups are worked on, about.
+HELD_BYTES = 16 << 20
 
 
 def deal(members: DataFrame, crowded: DataFrame, member: str, block: int = BLOCK) -> DataFrame:
@@ -46,7 +50,7 @@ def each_pair_of_blocks(work: Callable[[pa.Table], list[np.ndarray]], names: lis
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, now]).combine_chunks() if held is not None and held.num_rows else now
-            if held.num_rows >= 2048:
+            if held.num_rows >= 2048 or held.nbytes >= HELD_BYTES:
                 out, held = done(held, False)
                 yield out
         if held is not None and held.num_rows:
@@ -57,4 +61,4 @@ def each_pair_of_blocks(work: Callable[[pa.Table], list[np.ndarray]], names: lis
 
 def meet(dealt: DataFrame, work: Callable[[pa.Table], list[np.ndarray]], names: list[str]) -> DataFrame:
     """Rows of longs from work over every pair of blocks."""
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(each_pair_of_blocks(work, names), ", ".join(f"{n} long" for n in names))
+    return arrow(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), each_pair_of_blocks(work, names), ", ".join(f"{n} long" for n in names))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +20,8 @@ BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
 #: Rows up to which an id list may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 200_000
+#: Bytes that a plan reads for each file that it writes, at least; and bytes of a batch that goes to a Python worker at once.
+FILE_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,38 +29,138 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is set."""
+    """The checkpoint folder of the session; one of our own only in local mode, where none is set.
+
+    Executors of a cluster do not see a folder on the driver's disk, so there
+    ``spark.checkpoint.dir`` must name a shared one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df in no more partitions than a few a core, or one for each FILE_BYTES that its plan reads.
+
+    A task's output is a file, and hundreds of tiny files cost more than their
+    rows. The number follows the input, so at scale it is that of the splits.
+    """
+    leaves, read = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        read += int(leaves.next().stats().sizeInBytes())
+    return df.coalesce(min(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-read // FILE_BYTES)), 1 << 20))
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, to cut lineage.
 
     A written table survives lost executors. ``drop`` removes tables that a
-    later step has replaced, so iterations do not pile up.
+    later step has replaced, so iterations do not pile up; the rest goes when
+    the driver's JVM ends, or with ``clear`` once nothing reads them.
     """
 
+    _open: ClassVar[threading.local] = threading.local()
+
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
+        path, fs = self._at(self.base)
+        fs.deleteOnExit(path)
+        Scratch._opened().append(self)
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        packed(df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
             if path := getattr(df, "scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                p, fs = self._at(path)
+                fs.delete(p, True)
+
+    @classmethod
+    def _opened(cls) -> list[Scratch]:
+        if not hasattr(cls._open, "all"):
+            cls._open.all = []
+        return cls._open.all
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._opened())
+
+    @classmethod
+    def clear(cls, mark: int) -> None:
+        """Remove the tables of all folders that this thread has opened since the mark."""
+        own = cls._opened()
+        for scratch in own[mark:]:
+            p, fs = scratch._at(scratch.base)
+            fs.delete(p, True)
+        del own[mark:]
+
+
+def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow on batches of at most BATCH_BYTES (one row at least); a worker gives back what it has freed when a task ends.
+
+    The bound is a setting of the session, lowered where it is higher.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, str(2**31 - 1))) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
+class Kept(dict):
+    """What make gives for a key, kept for the keys met lately: two generations of at most ``most`` keys each."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+def released() -> None:
+    """Give free memory of this process back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def free_prefix(docs: DataFrame) -> str:
+    """Underscores with which no column of docs begins, for columns of our own."""
+    p = "_"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    return p
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

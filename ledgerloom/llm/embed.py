@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK, deal, meet
-from .common import Scratch
+from .common import Scratch, arrow
 from .components import connected_components
 
 COSINE, BITS, TABLES, SEED = 0.93, 14, 40, 5
@@ -129,10 +129,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) or isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType) else "<f8"
     numbers = "array<float>" if kind == "<f4" else "array<double>"
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(numbers).alias("embedding"))
-    rows = scratch.cut(base.mapInArrow(_pack(kind), "vec_id long, label string, vec binary, d1 long, d2 long"))
+    rows = scratch.cut(arrow(base, _pack(kind), "vec_id long, label string, vec binary, d1 long, d2 long"))
     classes = rows.where("vec is not null and vec_id is not null").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"), F.first("label").alias("label"))
     classes = scratch.cut(classes)
-    coded = scratch.cut(classes.select("rep", "n", "vec", "label").mapInArrow(_coded(kind), "rep long, n long, vec binary, label string, codes binary, keys array<long>"))
+    coded = scratch.cut(arrow(classes.select("rep", "n", "vec", "label"), _coded(kind), "rep long, n long, vec binary, label string, codes binary, keys array<long>"))
 
     spread = coded.select("rep", F.explode("keys").alias("key"))
     crowded = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")

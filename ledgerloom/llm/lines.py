@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, Scratch, bounded
+from .common import BLANK, Scratch, bounded, free_prefix
 
 LEAST_WORDS, EDIT_WORDS = 5, 10
 _LAST = 2**63 - 1
@@ -128,24 +128,23 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.groupBy("doc", "t").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs with the lines gone from text, and a column ``_line_dedup`` (n_lines, n_removed), in place of any of that name."""
-    p = "_"
-    while any(c.startswith(p) for c in docs.columns):
-        p += "_"
+def dedup(docs: DataFrame, removed: DataFrame, counted: str | None = "_line_dedup") -> DataFrame:
+    """docs with the lines gone from text, and a column of counts (n_lines, n_removed), in place of any of that name; None: no such column."""
+    p = free_prefix(docs)
     gone = removed.select(*[F.col(c).alias(p + c) for c in ("doc", "t", "lines")])
     text, lines = F.col("text").cast("string"), F.col(f"{p}lines")
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(f"{p}doc")) & (F.xxhash64(text) == F.col(f"{p}t"))
     kept = F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(lines, i)), "\n"))
     counts = F.struct((_count(text, "\n") + 1).alias("n_lines"), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
     counts = F.when(text.isNull(), F.struct(F.lit(0).alias("n_lines"), F.lit(0).alias("n_removed"))).otherwise(counts)
-    return docs.join(gone, on, "left").select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "_line_dedup"], counts.alias("_line_dedup"))
+    own = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != counted]
+    return docs.join(gone, on, "left").select(*own, *([counts.alias(counted)] if counted else []))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without the lines that an earlier line repeats; ``_line_dedup`` counts them."""
+def dedup_lines(docs: DataFrame, counted: str | None = "_line_dedup") -> DataFrame:
+    """docs without the lines that an earlier line repeats; the column ``counted`` counts them."""
     scratch = Scratch(docs.sparkSession)
-    return dedup(docs, scratch.cut(removed_lines(docs, scratch)))
+    return dedup(docs, scratch.cut(removed_lines(docs, scratch)), counted)
 
 
 #: The same in DuckDB SQL, on words instead of hashes.

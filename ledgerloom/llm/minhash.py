@@ -5,7 +5,8 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles
 sequence). Equal sets collapse into a class first. Minima under many universal
 hash functions ((a*x + b) mod 2^64, upper half) are banded; classes of a band
 bucket are checked against the bucket's least class, then, in buckets whose
-classes still lie in different components, against each other. Every pair
+classes still lie in different components, those beside the largest component
+against all, in blocks. Every pair
 passes the signature (one bit of each minimum, compared in the join itself)
 and then the exact sets before it is a link, so buckets of mutual copies cost
 a number of pairs linear in their size.
@@ -20,7 +21,6 @@ set, link with nothing and stay. Repeated rows count as copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import deal, meet
-from .common import WORD, Scratch, bounded
+from .blocks import BLOCK, meet
+from .common import WORD, Kept, Scratch, arrow, bounded
 from .components import connected_components
 
 BANDS, ROWS, WIDTH, PERCENT = 32, 4, 5, 75
@@ -38,8 +38,10 @@ HASHES = BANDS * ROWS
 LEAST_BITS = 90
 #: Minima of a long signature, and how many (by their low bytes) a pair at the threshold agrees on at least: 769 on average, deviation 13.9.
 LONG, LEAST_LONG = 1024, 706
-#: Words whose hashes a worker keeps at most.
-CACHE = 400_000
+#: Bytes of the sets of a block, about, at most.
+BLOCK_BYTES = 8 << 20
+#: Words whose hashes a worker keeps at most, twice (about 16 MB).
+CACHE = 50_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,15 +52,7 @@ _LONG_A = _rng.integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uin
 _LONG_B = _rng.integers(0, 2**63, LONG, dtype=np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+_words = Kept(xxhash.xxh3_64_intdigest, CACHE)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -126,77 +120,106 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The long signature and the band keys of each text."""
+    """The long signature, the band keys and the whole set of each text."""
     for batch in batches:
-        long, keys = [], []
-        for text in batch.column("text"):
-            s = shingles(text.as_py())
-            long.append(_mix(signature(s, _LONG_A, _LONG_B)).astype(np.uint8).tobytes())
-            keys.append(bands(signature(s)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(long, pa.binary()), pa.array(keys, pa.binary())], names=["id", "long", "keys"])
-
-
-def _across(rows: pa.Table, closest: bool) -> list[np.ndarray]:
-    """Pairs of a pair of blocks that lie in different components and pass the long
-    signatures: each member's closest in each component, or all that meet first in this band."""
-    first = {c: rows.column(c)[0].as_py() for c in ("i", "j", "band")}
-    comp, n, rep, b = (rows.column(c).to_numpy() for c in ("comp", "n", "rep", "b"))
-    values, counts = np.unique(comp, return_counts=True)
+        rows = [shingles(text.as_py()) for text in batch.column("text")]
+        long = [_mix(signature(s, _LONG_A, _LONG_B)).astype(np.uint8).tobytes() for s in rows]
+        keys = [bands(signature(s)).tobytes() for s in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(long, pa.binary()), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["id", "long", "keys", "own"])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _across(rows: pa.Table) -> list[np.ndarray]:
+    """Links of a block of the bucket's minority (side 1) with a block of all its members (side 0).
+
+    Members of different components that pass the long signatures are compared
+    by their whole sets, the closest first; components that a link has joined
+    are one from then on, so a block hands on fewer links than it has components.
+    """
+    band = rows.column("band")[0].as_py()
+    comp, n, rep, side = (rows.column(c).to_numpy() for c in ("comp", "n", "rep", "side"))
+    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(len(rep), BANDS)[:, :band]
+    long = np.frombuffer(b"".join(rows.column("long").to_pylist()), np.uint8).reshape(len(rep), LONG)
+    sets, every = rows.column("own"), np.flatnonzero(side == 0)
+    _, comp = np.unique(comp, return_inverse=True)
+    joined = comp.ravel().copy()
     u, v = [], []
-    if len(values) > 1:
-        own = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(len(rep), BANDS)[:, : first["band"]]
-        long = np.frombuffer(b"".join(rows.column("long").to_pylist()), np.uint8).reshape(len(rep), LONG)
-        minor = comp != values[counts.argmax()]
-        for x in np.flatnonzero(minor):
-            y = (comp != comp[x]) & ~(minor & (np.arange(len(rep)) <= x)) & (100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x]))
-            if first["i"] != first["j"]:
-                y &= b != b[x]
-            y = np.flatnonzero(y)
-            alike = (long[y] == long[x]).sum(axis=1)
-            y = y[alike >= LEAST_LONG]
-            if closest:
-                y = y[np.argsort(-alike[alike >= LEAST_LONG], kind="stable")]
-                y = y[np.unique(comp[y], return_index=True)[1]]
-            else:
-                y = y[~(own[y] == own[x]).any(axis=1)]
-            u.append(np.maximum(rep[y], rep[x]))
-            v.append(np.minimum(rep[y], rep[x]))
-    return [np.concatenate(c) if c else np.empty(0, np.int64) for c in (u, v)]
+    for x in np.flatnonzero(side == 1):
+        y = every[(joined[every] != joined[x]) & (100 * np.minimum(n[every], n[x]) >= PERCENT * np.maximum(n[every], n[x]))]
+        same = (long[y] == long[x]).sum(axis=1)
+        near = same >= LEAST_LONG
+        y = y[near][np.argsort(-same[near], kind="stable")]
+        y = y[~(keys[y] == keys[x]).any(axis=1)]  # these met in an earlier band
+        own = np.frombuffer(sets[int(x)].as_py(), np.uint64) if len(y) else None
+        for k in y.tolist():
+            if joined[k] != joined[x] and alike(own, np.frombuffer(sets[k].as_py(), np.uint64)):
+                joined[joined == joined[k]] = joined[x]
+                u.append(max(rep[x], rep[k]))
+                v.append(min(rep[x], rep[k]))
+    return [np.array(c, np.int64) for c in (u, v)]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts whose full sets reach the threshold."""
+    """Pairs of texts whose full sets reach the threshold; rows come in runs of one v."""
     last: tuple = (None, None)
     for batch in batches:
-        u, v, keep = batch.column("u").to_pylist(), batch.column("v").to_pylist(), []
+        u, v, keep = batch.column("u"), batch.column("v"), []
         left, right = batch.column("text_u"), batch.column("text_v")
-        for i in range(batch.num_rows):
-            if last[0] != v[i]:
-                last = (v[i], shingles(right[i].as_py()))
-            a, b = shingles(left[i].as_py()), last[1]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+        for i, k in enumerate(v.to_pylist()):
+            if last[0] != k:
+                last = (k, shingles(right[i].as_py()))
+            keep.append(alike(shingles(left[i].as_py()), last[1]))
         mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()).filter(mask), pa.array(v, pa.int64()).filter(mask)], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
 
 
 def sketch(docs: DataFrame) -> DataFrame:
     """Set size, set digest, band keys and signature bits of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketches, SKETCH)
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _sketches, SKETCH)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the documents with these ids; one row each."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(bounded(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    """id and text of the documents with these ids; one row each.
+
+    The id is a result of the aggregate and not its key, so a join on it deals
+    its rows anew, and adaptive execution can split what one id has many of.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text"))
+    return texts.join(bounded(ids.select(F.col("id").alias("k"))), "k", "left_semi").groupBy("k").agg(F.max("k").alias("id"), F.min("text").alias("text")).select("id", "text")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of class representatives that are links by their full sets."""
+    """The pairs (u, v) of class representatives that are links by their full sets.
+
+    The hubs (v) come last, so their texts move once for each split of their
+    rows, and rows of one hub stand together.
+    """
     texts = _texts(docs, pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
     left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    full = pairs.join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
-    return full.mapInArrow(_verified, "u long, v long")
+    full = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    return arrow(full, _verified, "u long, v long")
+
+
+def _dealt(placed: DataFrame, open_: DataFrame) -> DataFrame:
+    """Members of open buckets as blocks: each block of a bucket's minority (side 1: not of
+    its largest component) meets each block of all its members (side 0)."""
+    rows = placed.join(open_, "key")
+    wide = F.sequence(F.lit(0), F.col("wide") - 1)
+    narrow = F.sequence(F.lit(0), F.col("narrow") - 1)
+    i, j = F.pmod(F.xxhash64("rep", F.lit(1)), "narrow").cast("int"), F.pmod(F.xxhash64("rep"), "wide").cast("int")
+    place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    all_ = F.transform(narrow, lambda k: place(0, k, j))
+    minor = F.when(F.col("comp") != F.col("major"), F.transform(wide, lambda k: place(1, i, k))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>"))
+    return rows.select("key", "band", "rep", "n", "comp", F.explode(F.concat(all_, minor)).alias("p")).select("key", "band", "rep", "n", "comp", "p.*")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,25 +242,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sized = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
     stars = members.where("rep <> centre").select("rep", "n", "b1", "b2", "centre").distinct()
     hubs = classes.select(F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
-    star_pairs = stars.join(hubs, "centre").where(agree & sized).select(F.col("rep").alias("u"), F.col("centre").alias("v"))
-    links = scratch.cut(_verify(scratch.cut(star_pairs), docs))
-    found = scratch.cut(connected_components(links, scratch))
-
-    # Buckets whose members still lie in different components: the pairs across.
-    long = None
-    for closest in (True, False):
-        placed = members.select("key", "band", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        placed = scratch.cut(placed.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
-        open_ = scratch.cut(open_)
-        if long is None:  # components only grow, so these serve both rounds
-            still = scratch.cut(placed.join(open_, "key", "left_semi").select(F.col("rep").alias("id")).distinct())
-            long = scratch.cut(_texts(docs, still).mapInArrow(_long, "id long, long binary, keys binary")).withColumnRenamed("id", "rep")
-        met = meet(deal(placed, open_, "rep").join(long, "rep"), partial(_across, closest=closest), ["u", "v"])
-        more = scratch.cut(_verify(scratch.cut(met.distinct()), docs))
+    star_pairs = scratch.cut(stars.join(hubs, "centre").where(agree & sized).select(F.col("rep").alias("u"), F.col("centre").alias("v")))
+    links = scratch.cut(_verify(star_pairs, docs))
+    found = connected_components(links, scratch)
+
+    # Buckets whose members still lie in different components: the links across.
+    placed = members.select("key", "band", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = scratch.cut(placed.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    of_key = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n * 8 / BLOCK_BYTES)).cast("int")
+    open_ = scratch.cut(of_key.where("comps > 1").select("key", F.col("top.comp").alias("major"), blocks(F.col("m"), F.col("n")).alias("wide"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("narrow")))
+    if open_.take(1):
+        still = scratch.cut(placed.join(open_, "key", "left_semi").select(F.col("rep").alias("id")).distinct())
+        long = scratch.cut(arrow(_texts(docs, still), _long, "id long, long binary, keys binary, own binary")).withColumnRenamed("id", "rep")
+        more = scratch.cut(meet(_dealt(placed, open_).join(long, "rep"), _across, ["u", "v"]).distinct())
         if more.take(1):
-            links = links.union(more)
-            found = scratch.cut(connected_components(links, scratch))
+            found = connected_components(links.union(more), scratch)
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = rows.drop("bands", "b1", "b2").join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("c", "doc_id"))

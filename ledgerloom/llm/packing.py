@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_rank
+from .common import Kept, Scratch, arrow, salted_rank
 
 SEQUENCE, END_ID = 2048, 1
-#: Word parts whose ids a worker keeps at most.
-CACHE = 800_000
+#: Word parts whose ids a worker keeps at most, twice (about 16 MB).
+CACHE = 70_000
 
 _LETTERS = "a-zß-öø-ÿ"
 #: A lower-cased text without these falls apart into letters, digits and other marks, whatever stands beside them: "'" begins contractions, "<" special tokens; the rest are letters, digits or blanks beyond Latin-1's plain ones.
@@ -38,7 +38,7 @@ _ODD = re.compile(r"['<\x1c-\x1f\x85\xa0ª²³µ¹º¼½¾\u0100-\U0010ffff]")
 _PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\x20\x09-\x0d]+")
 
 
-class TokenIds(dict):
+class TokenIds(Kept):
     """Little-endian 32-bit ids of word parts, kept once made.
 
     The tokenizer drops white space and never looks across it, so a text's ids
@@ -48,14 +48,11 @@ class TokenIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(self._made, CACHE)
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[part] = ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+    def _made(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text."""
@@ -95,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -147,4 +144,4 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(ids), pa.array(offsets)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ranked = salted_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"])
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return arrow(ranked, place, f"{PIECES}, sequence_id long, offset long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow
 
 #: The base kinds in the order of the results, then those that the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -206,7 +206,7 @@ def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans of every document."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.cut(texts.mapInArrow(_candidates, f"doc_id long, spans array<{_SPAN}>"))
+    rows = scratch.cut(arrow(texts, _candidates, f"doc_id long, spans array<{_SPAN}>"))
     patterns = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").agg(F.count(F.lit(1)).alias("n"))
     counts = {(r["kind"], r["votes"]): r["n"] for r in patterns.collect()}  # len(KINDS) * 3^5 rows at most
     w = train(counts)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import arrow, bounded
 
 SAMPLE, SEED, THRESHOLD = 20_000, 11, 0.3
 BINS, COARSE, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, LEAST = 32, 8, 150, 6, 60, 0.1, 20
@@ -176,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).where(F.col("q").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     marked = marked.groupBy("id").agg(F.max("q").alias("y")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(bounded(marked, sample), F.col("doc_id") == F.col("id")).select("y", "doc_id", "text")
-    found = sorted((r["doc_id"], r["y"], *r["x"]) for r in rows.mapInArrow(_featured, "y int, doc_id long, x array<double>").collect())
+    # Rows that share a doc_id are one document here (its least text), so no more than the sample are collected.
+    rows = texts.join(bounded(marked, sample), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "doc_id", "text")
+    found = sorted((r["doc_id"], r["y"], *r["x"]) for r in arrow(rows, _featured, "y int, doc_id long, x array<double>").collect())
     a = np.array(found, float).reshape(len(found), 2 + len(FEATURES))
     return fit(a[:, 2:], a[:, 1])
 
@@ -190,7 +191,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = model.score(np.array([features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    out = arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scored, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -203,4 +204,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             s = model.score(np.array([features(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(FEATURES)))
             yield batch.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow(docs, keep, docs.schema)

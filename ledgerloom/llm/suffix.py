@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded
+from .common import Scratch, arrow, bounded
 
 LENGTH, GRAM, SHALLOW, HOT = 100, 16, 32, 50_000
 REACH = LENGTH - GRAM  # an anchor starts at most so far into its window
@@ -443,8 +443,8 @@ def repeats(docs: DataFrame, hot: int = HOT, per_part: int = PART) -> DataFrame:
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc is not null")
-    blobs = named.mapInArrow(_anchors(shuffled), "part int, kind int, blob binary")
-    again = scratch.cut(blobs.repartition(shuffled, "part").mapInArrow(_repeated, "h long, doc long, first long, count long"))
+    blobs = arrow(named, _anchors(shuffled), "part int, kind int, blob binary")
+    again = scratch.cut(arrow(blobs.repartition(shuffled, "part"), _repeated, "h long, doc long, first long, count long"))
     total = again.agg(F.sum(F.col("count") + LENGTH - 1).alias("n")).first()["n"] or 0
     parts = max(shuffled, -(-total // per_part))
 
@@ -453,8 +453,8 @@ def repeats(docs: DataFrame, hot: int = HOT, per_part: int = PART) -> DataFrame:
     salted = again.join(bounded(scratch.cut(crowded)), "h", "left").select("doc", F.struct("h", "first", "count", salt.alias("salt")).alias("s"))
     of_doc = salted.groupBy("doc").agg(F.collect_list("s").alias("segments"))
     by_doc = texts.repartition(shuffled, "doc")
-    pieces = by_doc.join(of_doc, "doc").select("doc", "text", "segments").mapInArrow(_cut(parts), "part int, meta binary, texts binary")
-    spans = scratch.cut(pieces.repartition(max(shuffled, parts), "part").sortWithinPartitions("part").mapInArrow(_repeats, "doc long, s long, e long, f1 long, f2 long"))
+    pieces = arrow(by_doc.join(of_doc, "doc").select("doc", "text", "segments"), _cut(parts), "part int, meta binary, texts binary")
+    spans = scratch.cut(arrow(pieces.repartition(max(shuffled, parts), "part").sortWithinPartitions("part"), _repeats, "doc long, s long, e long, f1 long, f2 long"))
 
     classes = spans.where("f2 <> 0")
     earliest = classes.groupBy("f1", "f2").agg(F.min(F.struct("doc", "s")).alias("m"))
@@ -462,4 +462,4 @@ def repeats(docs: DataFrame, hot: int = HOT, per_part: int = PART) -> DataFrame:
     every = spans.where("f2 = 0").select("doc", "s", "e").union(late)
     gone = every.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = by_doc.join(gone, "doc", "left").select(F.col("doc").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>")
+    return arrow(joined, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>")
