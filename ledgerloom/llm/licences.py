@@ -16,7 +16,9 @@ repeated rows are scanned one by one; no documents, no rows.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -42,10 +44,15 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
     ("mit", "Released under the MIT License.", ["mit license"]),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license"]),
+    ("artistic-2.0", "This program is licensed under the Artistic License 2.0.", ["artistic license 2 0"]),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0.", ["boost software license"]),
+    ("cc0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain under CC0 1.0 Universal.", ["cc0 1 0 universal"]),
+    ("epl-2.0", "This program is made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    ("eupl-1.2", "Licensed under the European Union Public Licence, version 1.2", ["european union public licence"]),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", ["sil open font license"]),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", ["in no event will the authors be held liable"]),
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
 ]
-#: Words a file in the SQL, which looks up no more and so finds less where a file has many licence words.
-RARE = 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words; upper-case letters count as letters, so a text need not be lower-cased to be split.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -140,19 +147,24 @@ def _aligned(words: Column, idf: dict[str, float]) -> Column:
     return let(F.array_intersect(words, _array(sorted(postings))), lambda held: F.when(F.size(held) > 0, scan(held)).otherwise(F.array().cast("array<struct<label:string,score:double>>")))
 
 
+def _marks(idf: dict[str, float]) -> tuple[list[str], str]:
+    """Words of which a text holds one at least, or else a match of the regex for
+    the short words of "cc by", if it holds a base phrase or a template."""
+    weight = lambda w: (len(w) > 3, idf.get(w, 0.0), len(w), w)
+    needed = [p.split() for p in BASE if p != "cc by"] + [[w for p in phrases for w in p.split()] for _, _, phrases in TEMPLATES if not any("cc by" in p for p in phrases)]
+    marks = {max(words, key=weight) for words in needed}
+    return sorted(m for m in marks if not any(o != m and o in m for o in marks)), f"cc{_BETWEEN}by"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
-    Words are worked out for files that hold a key phrase's first words in
-    some letter case; the others can have neither base phrases nor templates.
+    Words are worked out for files that hold, in some letter case, a word that
+    a base phrase or a template's key phrases need; the others can have neither.
     """
     idf = weights(docs)
-    lower = F.lower("text")
-    marks = sorted({phrases[0].split()[0] for _, _, phrases in TEMPLATES} | {p.split()[0] for p in BASE})
-    marks = [m for m in marks if not any(o != m and o in m for o in marks)]
-    open_ = F.lit(False)
-    for m in marks:
-        open_ |= F.contains(lower, F.lit(m))
+    marks, cc = _marks(idf)
+    open_ = let(F.lower("text"), lambda lower: functools.reduce(operator.or_, [F.contains(lower, F.lit(m)) for m in marks] + [F.contains(lower, F.lit("cc")) & lower.rlike(cc)]))
     words = F.when(open_, _words(F.col("text"))).otherwise(F.array().cast("array<string>"))
 
     def found(w: Column) -> Column:
@@ -189,7 +201,7 @@ def sql() -> str:
         for phrase in TEMPLATES[t][2]:
             key = phrase.split()
             start = next(k for k in range(len(own)) if own[k : k + len(key)] == key)
-            must += [(t, start + k, w) for k, w in enumerate(key)]
+            must += [x for k, w in enumerate(key) if (x := (t, start + k, w)) not in must]
     base = " UNION ALL ".join("SELECT a.doc_id, a.i, '" + label + "' AS label FROM w a " + " ".join(f"JOIN w x{k} ON x{k}.doc_id = a.doc_id AND x{k}.i = a.i + {k} AND x{k}.word = '{word}'" for k, word in enumerate(p.split())) for p, label in BASE.items())
     return rf"""
 WITH t(t, p, word) AS (VALUES {_values(words)}), must(t, p, word) AS (VALUES {_values(must)}), name(t, label) AS (VALUES {_values([(t, x[0]) for t, x in enumerate(TEMPLATES)])}),
@@ -197,9 +209,7 @@ l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}'
 w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM l),
 df AS (SELECT word, count(DISTINCT doc_id) AS n FROM w GROUP BY word),
 idf AS (SELECT word, round(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) + 1e-3, 6) AS weight FROM (SELECT DISTINCT word FROM t) LEFT JOIN df USING (word)),
-rare AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, weight FROM w JOIN idf USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) <= {RARE}),
-cand AS (SELECT doc_id, t.t, w.i - t.p AS start FROM rare JOIN w USING (doc_id, word) JOIN t USING (word) GROUP BY ALL HAVING count(*) >= 2),
-ok AS (SELECT doc_id, c.t, c.start FROM cand c JOIN (SELECT *, count(*) OVER (PARTITION BY t) AS need FROM must) m ON m.t = c.t JOIN w USING (doc_id) WHERE w.i = c.start + m.p AND w.word = m.word GROUP BY doc_id, c.t, c.start HAVING count(*) = any_value(need)),
+ok AS (SELECT doc_id, m.t, w.i - m.p AS start FROM w JOIN (SELECT *, count(*) OVER (PARTITION BY t) AS need FROM must) m USING (word) GROUP BY ALL HAVING count(*) = any_value(need)),
 total AS (SELECT t, sum(weight) AS total FROM t JOIN idf USING (word) GROUP BY t),
 score AS (SELECT doc_id, max(part) AS score FROM (SELECT doc_id, o.t, o.start, least(round(sum(weight) / any_value(total), 6), 1.0) AS part FROM ok o JOIN t ON t.t = o.t JOIN total ON total.t = o.t JOIN w USING (doc_id) JOIN idf ON idf.word = t.word WHERE w.i = o.start + t.p AND w.word = t.word GROUP BY ALL) GROUP BY doc_id),
 base AS ({base}),

@@ -55,3 +55,31 @@ def test_every_notice_of_a_file(documents):
     assert [got[i][0] for i in range(len(texts))] == [_labels(t) for t in texts]
     assert got[0][0] == "agpl-3.0,gpl,mit" and got[1][0] == "apache-2.0,mpl-2.0,unlicense" and got[2][0].count(",") >= 14
     assert [got[i][1] for i in range(3)] == [1.0] * 3
+
+
+def test_every_notice_in_one_text(documents):
+    everything = " ".join(notice for _, notice, _ in X.TEMPLATES)
+    stray = " ".join(X.VOCABULARY * 3)
+    rows = [(1, everything), (2, f"{stray}. {everything} {stray} {everything}"), (3, stray), (4, "Apache License, Version 2.0; Mozilla Public License; Released under the MIT License."), (5, everything.upper())] + [(10 + k, f"{stray} {notice} {stray}") for k, (_, notice, _) in enumerate(X.TEMPLATES)]
+    got = {r["doc_id"]: r for r in X.scan(documents(rows)).collect()}
+    labels = {label for label, _, _ in X.TEMPLATES}
+    for d in (1, 2, 5):
+        assert labels <= set(got[d]["labels"].split(","))
+    assert set(got[4]["labels"].split(",")) == {"apache-2.0", "mit", "mpl-2.0"}
+    assert got[1]["score"] == 1.0
+    for k, (label, _, _) in enumerate(X.TEMPLATES):
+        assert label in got[10 + k]["labels"].split(",")
+
+
+def test_sql_on_many_notices(spark, documents):
+    import duckdb
+
+    everything = " ".join(notice for _, notice, _ in X.TEMPLATES)
+    rows = [(1, everything), (2, everything + " " + everything), (3, None), (4, "cc by-nc 4.0 cc by sa 4 0"), (5, "GNU General Public License, version 2 and the GNU General Public License, version 3")]
+    docs = documents(rows)
+    frame = docs.select("doc_id", "text").toPandas()
+    c = duckdb.connect()
+    c.register("documents", frame)
+    want = {r[0]: r[1:] for r in c.sql(X.sql()).fetchall()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in X.scan(docs).collect()}
+    assert got == want
