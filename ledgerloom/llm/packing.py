@@ -17,6 +17,7 @@ all columns are interchangeable.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Kept, Scratch, arrow, salted_rank
 
 SEQUENCE, END_ID = 2048, 1
-#: Word parts whose ids a worker keeps at most, twice (about 16 MB).
-CACHE = 70_000
+#: Word parts whose ids a worker keeps at most, twice (about 28 MB).
+CACHE = 120_000
 
 _LETTERS = "a-zß-öø-ÿ"
 #: A lower-cased text without these falls apart into letters, digits and other marks, whatever stands beside them: "'" begins contractions, "<" special tokens; the rest are letters, digits or blanks beyond Latin-1's plain ones.
@@ -38,11 +39,25 @@ _ODD = re.compile(r"['<\x1c-\x1f\x85\xa0ª²³µ¹º¼½¾\u0100-\U0010ffff]")
 _PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\x20\x09-\x0d]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters as byte-level tokenizers spell their UTF-8 bytes: printable
+    bytes as themselves, the others as the letters from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    spelled = {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_LETTER_BYTES = _byte_letters()
+
+
 class TokenIds(Kept):
     """Little-endian 32-bit ids of word parts, kept once made.
 
     The tokenizer drops white space and never looks across it, so a text's ids
-    are those of its words, and of plain words those of their parts.
+    are those of its words, and of plain words those of their parts. A plain
+    part is in normal form, lower case and one piece already, so only its bytes
+    are spelled out before the tokenizer's model merges them.
     """
 
     def __init__(self, path: str):
@@ -50,17 +65,25 @@ class TokenIds(Kept):
 
         super().__init__(self._made, CACHE)
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def _made(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if _ODD.search(part):
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(part.translate(_LETTER_BYTES))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        lower = word.lower()
+        return self[word] if _ODD.search(lower) else b"".join(map(self.__getitem__, _PART.findall(lower)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text."""
         lower = (text or "").lower()
         if not _ODD.search(lower):
             return b"".join(map(self.__getitem__, _PART.findall(lower)))
-        words = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()]
-        return b"".join(map(self.__getitem__, words))
+        return b"".join([self._word(w.decode("utf-8", "replace")) for w in text.encode("utf-8", "surrogatepass").split()])
 
 
 _kept: list[TokenIds] = []
