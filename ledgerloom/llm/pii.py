@@ -8,7 +8,9 @@ value range, gazetteer, words of the context, and borders. The corpus' vote
 patterns are counted (a row for each kind and pattern at most), expectation
 maximisation over the counts estimates the share of true spans by kind and how
 reliable each labeler is, and a logistic classifier of spans is trained on the
-posteriors. Candidates that it accepts and that overlap no base span are added.
+posteriors: by kind, votes and the span's own shape (length, share of digits,
+variety of characters), so that it weighs what no labeler votes on. Candidates
+that it accepts and that overlap no base span are added.
 
 Offsets are code points, ends exclusive. The patterns run in time linear in
 the text. Defined results: null and empty texts have no spans; repeated rows
@@ -17,6 +19,7 @@ are scanned one by one; no documents, no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -40,9 +43,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SECRET = re.compile(
-    r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)['"]?[\x20\t]{0,3}[:=][\x20\t]{0,3}"""
+    r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)['"]?[\x20\t]{0,3}[:=][\x20\t]{0,3}"""
     r"""(?:"((?:[^"\\\r\n]++|\\.)++)"|'((?:[^'\\\r\n]++|\\.)++)'|['"]?([^\s,;'"]+))"""  # to the closing quote of the line, or else one word
 )
+#: Beginnings of issued keys, which need no name before them.
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])")
+_MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
@@ -109,6 +115,8 @@ def _mod97(s: str) -> bool:
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if "=" in text or ":" in text:
         yield from (("secret", *m.span(m.lastindex)) for m in _SECRET.finditer(text))
+    if any(mark in text for mark in _MARKS):
+        yield from (("secret", m.start(), m.end()) for m in _ISSUED.finditer(text))
     if _DIGIT.search(text):
         if "-" in text:
             yield from (("ssn", m.start(), m.end()) for m in _SSN.finditer(text))
@@ -131,15 +139,28 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     return 1 if pattern else -1, sign(checksum), sign(gazetteer), context, border
 
 
+def shape(span: str) -> str:
+    """Length, share of digits and number of different characters, a letter for each."""
+    n = len(span)
+    return "stml"[(n >= 8) + (n >= 16) + (n >= 32)] + "nfhd"[min(3, -(-3 * len(_digits(span)) // n))] + "xyz"[(len(set(span)) >= 6) + (len(set(span)) >= 12)]
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
-    """(kind, start, end, base, votes) of every candidate span."""
+    """(kind, start, end, base, votes and shape) of every candidate span."""
     base = base_spans(text)
     out = [(k, s, e, True) for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
-    for k, s, e in _proposed(text):
-        if not any(a < e and s < b for a, b in taken):
+    starts, ends = [], []  # what base spans cover, as runs that do not overlap
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    for k, s, e in dict.fromkeys(_proposed(text)):
+        at = bisect.bisect_left(starts, e) - 1
+        if at < 0 or ends[at] <= s:
             out.append((k, s, e, False))
-    return [(k, s, e, b, "".join("-0+"[v + 1] for v in votes(text, k, s, e))) for k, s, e, b in out]
+    return [(k, s, e, b, "".join("-0+"[v + 1] for v in votes(text, k, s, e)) + shape(text[s:e])) for k, s, e, b in out]
 
 
 _SPAN = "struct<kind:string,start:long,end:long,base:boolean,votes:string>"
@@ -161,7 +182,7 @@ def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) -> tupl
     if not keys:
         return {}, np.full((2, len(VOTES), 3), 0.5), {}
     n = np.array([counts[k] for k in keys], float)
-    v = np.array([["-0+".index(c) for c in k[1]] for k in keys]).reshape(len(keys), len(VOTES))
+    v = np.array([["-0+".index(c) for c in k[1][: len(VOTES)]] for k in keys]).reshape(len(keys), len(VOTES))
     kind = np.array([KINDS.index(k[0]) for k in keys], int)
     p = np.clip(0.5 + 0.12 * (v - 1).sum(axis=1), 0.05, 0.95)
     for _ in range(rounds):
@@ -178,10 +199,15 @@ def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) -> tupl
     return dict(zip(KINDS, share.tolist())), rely, dict(zip(keys, p.tolist()))
 
 
+_SHAPES = "stmlnfhdxyz"
+
+
 def _features(kind: str, pattern: str) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 2 * len(VOTES))
+    x = np.zeros(1 + len(KINDS) + 2 * len(VOTES) + len(_SHAPES))
     x[0] = x[1 + KINDS.index(kind)] = 1
-    for k, c in enumerate(pattern):
+    for c in pattern[len(VOTES) :]:
+        x[1 + len(KINDS) + 2 * len(VOTES) + _SHAPES.index(c)] = 1
+    for k, c in enumerate(pattern[: len(VOTES)]):
         x[1 + len(KINDS) + 2 * k] = c == "+"
         x[2 + len(KINDS) + 2 * k] = c == "-"
     return x
@@ -190,7 +216,7 @@ def _features(kind: str, pattern: str) -> np.ndarray:
 def train(counts: dict[tuple[str, str], int], steps: int = 60) -> np.ndarray:
     """Weights of the span classifier, by Newton steps on the patterns' posteriors."""
     posterior = reliabilities(counts)[2]
-    w = np.zeros(1 + len(KINDS) + 2 * len(VOTES))
+    w = np.zeros(1 + len(KINDS) + 2 * len(VOTES) + len(_SHAPES))
     if not counts:
         return w
     keys = sorted(counts)
@@ -208,7 +234,7 @@ def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.cut(arrow(texts, _candidates, f"doc_id long, spans array<{_SPAN}>"))
     patterns = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").agg(F.count(F.lit(1)).alias("n"))
-    counts = {(r["kind"], r["votes"]): r["n"] for r in patterns.collect()}  # len(KINDS) * 3^5 rows at most
+    counts = {(r["kind"], r["votes"]): r["n"] for r in patterns.collect()}  # a row for each kind, votes and shape at most, whatever the input
     w = train(counts)
     accepted = sorted(k for k in counts if k[0] in ADDED and 1 / (1 + np.exp(-float(_features(*k) @ w))) >= least)
 

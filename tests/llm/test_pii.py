@@ -68,3 +68,42 @@ def test_quoted_secrets(documents):
     for d, text in rows:
         value = QUOTED[text]
         assert got[d] == ("" if value is None else f"secret:{text.index(value)}:{text.index(value) + len(value)}"), text
+
+
+def test_planted_recall(spark):
+    """Every planted secret, and each added kind, by the spans of whole tables."""
+    import os
+
+    import pytest
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path).where("lower(text) like '%token = \"%'")
+    want = {(r["doc_id"], m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r["text"])}
+    got = {(r["doc_id"], int(s.split(":")[1]), int(s.split(":")[2])) for r in X.find(spark.read.parquet(path)).select("doc_id", "spans").collect() for s in r["spans"].split(",") if s.startswith("secret:")}
+    assert len(want) > 100
+    assert got == want
+
+
+def test_added_kinds(documents):
+    kinds = {"ssn": "my social security number is 123-45-6789 ok", "iban": "bank account DE89370400440532013000 here", "person": "Dear Mr. James Miller writes", "local_phone": "call (415) 555-2671 now", "secret": 'api_key: "Zx81kQp02LmN77vT"'}
+    issued = "AKIA" + "A1B2C3D4E5F6G7H8"
+    rows = [(i, t) for i, t in enumerate(kinds.values())] * 5 + [(50, f"see {issued} there"), (51, "plain words only, version 1.2.3 and order 555 1234")]
+    got = {r["doc_id"]: r["spans"] for r in X.find(documents(rows)).collect()}
+    for i, kind in enumerate(kinds):
+        assert got[i].startswith(kind + ":"), (kind, got[i])
+    assert got[50] == "secret:4:24" and got[51] == ""
+
+
+def test_overlaps_are_linear():
+    import time
+
+    def took(n):
+        text = " ".join(f"a{i}@mail.com token={i}abcdefgh" for i in range(n))
+        began = time.process_time()
+        assert len(X.candidates(text)) >= 2 * n
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 10 * max(took(2000), 0.02)
