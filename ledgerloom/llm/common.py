@@ -21,7 +21,7 @@ WORD = rf"[^{BLANK}]+"
 #: Rows up to which an id list may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 200_000
 #: Bytes that a plan reads for each file that it writes, at least; and bytes of a batch that goes to a Python worker at once.
-FILE_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
+FILE_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,16 @@ def packed(df: DataFrame) -> DataFrame:
     A task's output is a file, and hundreds of tiny files cost more than their
     rows. The number follows the input, so at scale it is that of the splits.
     """
+    read = bytes_read(df)
+    return df if read is None else df.coalesce(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-read // FILE_BYTES)))
+
+
+def bytes_read(df: DataFrame) -> int | None:
+    """Bytes of the files that the plan of df reads, as they are stored; None if rows come from elsewhere."""
     leaves, read = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
     while leaves.hasNext():
         read += int(leaves.next().stats().sizeInBytes())
-    return df.coalesce(min(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-read // FILE_BYTES)), 1 << 20))
+    return read if read < 1 << 50 else None
 
 
 class Scratch:

@@ -13,12 +13,15 @@ batch of documents, so a frequent string does not fill one task.
 
 Sorting. The other segments meet by minimiser, equal ones once per batch.
 Within a minimiser, the texts after the anchors (suffixes) and, read
-backwards, those before it are sorted: by stable sorts of 8-byte keys to a
-depth of ``SHALLOW`` bytes, then a blind trie for each group with a longer
-common prefix, which looks at the bytes where its branches part and compares
-with one leaf. Neighbours' common prefixes then tell for every window offset
+backwards, those before it are sorted: by multikey quicksort, eight bytes a
+character and all groups at once, to a depth of ``SHALLOW`` bytes, then a blind
+trie for each group with a longer common prefix, which looks at the bytes where
+its branches part and compares with one leaf. Neighbours' common prefixes then tell for every window offset
 which windows are equal, and all but the earliest go.
 
+Periodic text has an anchor every few bytes. Its windows that equal the window
+one period before them are repeats at once, and only the others are sorted.
+
 A minimiser with over ``HOT`` segments is dealt by a salt; its tasks hand on
 one window per class, and the classes meet once more by a 128-bit hash.
 
@@ -39,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow, bounded
+from .common import Scratch, arrow, bounded, bytes_read
 
 LENGTH, GRAM, SHALLOW, HOT = 100, 16, 32, 50_000
 REACH = LENGTH - GRAM  # an anchor starts at most so far into its window
@@ -47,6 +50,8 @@ REACH = LENGTH - GRAM  # an anchor starts at most so far into its window
 PART, BATCH_BYTES = 16_000_000, 8_000_000
 _U = np.uint64
 _LOW = _U((1 << 32) - 1)
+#: Windows from which a segment is looked through for periods, and how many periods are tried.
+FOLD, PERIODS = 4 * LENGTH, 3
 #: Bytes of a text, and of segments, that are worked on at once.
 _BLOCK, _SOLVE = 1 << 20, 1 << 21
 
@@ -176,6 +181,23 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(x[:, np.isin(x[0], again)])
 
 
+def folded(piece: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Runs (first, count) of a segment's windows: those to be sorted, and those that
+    equal the window one period before them, for its most common distances of anchors."""
+    count = len(piece) - LENGTH + 1
+    if count < FOLD:
+        return [(0, count)], []
+    x = np.frombuffer(piece, np.uint8)
+    steps, often = np.unique(np.diff(np.unique(_places(x, _grams(x)))), return_counts=True)
+    again = np.zeros(count, bool)
+    for p in steps[np.argsort(-often, kind="stable")][:PERIODS].tolist():
+        same = np.cumsum(np.concatenate([[0], x[p:] == x[:-p]]))
+        again[p:] |= same[LENGTH:] - same[:-LENGTH] == LENGTH
+    edge = np.flatnonzero(np.diff(again)) + 1
+    runs = list(zip([0, *edge.tolist()], [*edge.tolist(), count]))
+    return [(a, z - a) for a, z in runs if not again[a]], [(a, z - a) for a, z in runs if again[a]]
+
+
 def _cut(parts: int):
     """Blobs of segments (hash and salt, doc, first, count, text) by part. Equal
     segments of a batch go on once; the later ones' windows are repeats at once."""
@@ -191,8 +213,10 @@ def _cut(parts: int):
                         continue  # of another row with this doc_id
                     if seen.setdefault(piece, (doc, s["first"])) == (doc, s["first"]):
                         part = (s["h"] ^ s["salt"] * 0x9E3779B1) % parts
-                        meta.append((part, s["h"], s["salt"], doc, s["first"], s["count"]))
-                        texts.append(piece)
+                        sort, again = folded(piece)
+                        meta += [(part, s["h"], s["salt"], doc, s["first"] + a, n) for a, n in sort]
+                        texts += [piece[a : a + n + LENGTH - 1] for a, n in sort]
+                        spans += [(doc, s["first"] + a, s["first"] + a + n + LENGTH - 1) for a, n in again]
                     else:
                         spans.append((doc, s["first"], s["first"] + len(piece)))
             out = []
@@ -264,6 +288,49 @@ class _Trie:
         return out
 
 
+def multikey_quicksort(group: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings (columns of keys, a row for each character) within groups, and
+    whether each one but the first equals the one before it in all characters.
+
+    Bentley and Sedgewick's three-way partition, on all parts of all groups in
+    one step: strings below, at and above their part's pivot become parts of
+    their own, and those at the pivot go on with the next character. Ties stay
+    in the order given.
+    """
+    depths, n = keys.shape
+    order = np.argsort(group, kind="stable")
+    begins = np.concatenate([[True], group[order][1:] != group[order][:-1]])  # where parts begin
+    depth = np.zeros(n, np.int8)  # by place: characters that the part's strings share
+    live = np.arange(n)
+    while True:
+        part = np.cumsum(begins[live]) - 1
+        sizes = np.bincount(part)
+        keep = (sizes[part] > 1) & (depth[live] < depths)
+        live = live[keep]
+        if not len(live):
+            break
+        starts = np.flatnonzero(begins[live])
+        sizes = np.diff(starts, append=len(live))
+        part = np.repeat(np.arange(len(starts)), sizes)
+        at = order[live]
+        key = keys[depth[live], at]
+        low, mid, high = key[starts], key[starts + sizes // 2], key[starts + sizes - 1]
+        pivot = np.maximum(np.minimum(low, mid), np.minimum(np.maximum(low, mid), high))[part]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        to = np.empty(len(live), np.int64)
+        counts = np.bincount(3 * part + side, minlength=3 * len(starts))
+        ahead = np.cumsum(counts) - counts
+        for s in range(3):
+            own = np.flatnonzero(side == s)
+            first = ahead[3 * part[own] + s]
+            to[own] = first + np.arange(len(own)) - np.searchsorted(part[own], part[own], "left")
+        order[live[to]] = at
+        deeper = depth[live] + (side == 1)
+        depth[live[to]] = deeper
+        begins[live[ahead[counts > 0]]] = True
+    return order, ~begins[1:]
+
+
 def deep_shallow(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of equally long strings (rows of bytes) within groups, and each one's
     common prefix with the one before it in that order (-1 where a group begins)."""
@@ -271,11 +338,7 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     shallow = min(SHALLOW, width) // 8 * 8
-    keys = [np.ascontiguousarray(rows[:, k : k + 8]).view(">u8").ravel() for k in range(0, shallow, 8)]
-    order = np.lexsort((*keys[::-1], group))
-    same = group[order][1:] == group[order][:-1]
-    for k in keys:
-        same &= k[order][1:] == k[order][:-1]
+    order, same = multikey_quicksort(group, np.stack([np.ascontiguousarray(rows[:, k : k + 8]).view(">u8").ravel().astype(_U) for k in range(0, shallow, 8)]))
     # Groups that agree to the shallow depth go to blind tries, equal strings as one.
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
     sizes = np.diff(starts, append=n)
@@ -440,7 +503,8 @@ def repeats(docs: DataFrame, hot: int = HOT, per_part: int = PART) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Parts hold some megabytes whatever the input: its stored bytes tell how many there are.
+    shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * (bytes_read(docs.select("doc_id", "text")) or 0) // PART))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc is not null")
     blobs = arrow(named, _anchors(shuffled), "part int, kind int, blob binary")

@@ -67,3 +67,39 @@ def test_deep_shallow_sorts():
     for k in range(1, len(order)):
         (g, a), (h, b) = keys[k - 1], keys[k]
         assert common[k] == (-1 if g != h else next((i for i in range(100) if a[i] != b[i]), 100))
+
+
+def test_multikey_quicksort_is_a_stable_sort():
+    rng = np.random.default_rng(6)
+    for n, span in ((0, 5), (1, 5), (700, 2), (900, 40), (300, 2**40)):
+        group, keys = rng.integers(0, 9, n), rng.integers(0, span, (4, n)).astype(np.uint64)
+        order, same = X.multikey_quicksort(group, keys)
+        assert order.tolist() == np.lexsort((*keys[::-1], group)).tolist()
+        whole = [(group[i], *keys[:, i]) for i in order]
+        assert same.tolist() == [a == b for a, b in zip(whole, whole[1:])]
+
+
+def test_periods_are_folded():
+    for unit in (b"x", b"ab", b"0123456789" * 3):
+        piece = unit * (400_000 // len(unit))
+        sort, again = X.folded(piece)
+        assert sum(n for _, n in sort) <= 4 * len(unit) + 100 and sum(n for _, n in sort + again) == len(piece) - 99
+
+
+def test_texts_beyond_a_block(documents):
+    """Texts over 1 MiB, whose segments are over 2 MiB together: of one byte, periodic, and with a passage again."""
+    random.seed(11)
+    prose = "".join(random.choice("abcdefghij klm") for _ in range(X._BLOCK + 200_000))
+    rows = [(0, "z" * (X._BLOCK + 300_000)), (1, prose), (2, "ab" * 300_000 + prose[500_000:1_200_000] + "z" * 500), (3, prose[:50] + "new " * 10 + prose[X._BLOCK - 5000 : X._BLOCK + 5000])]
+    seen: set[int] = set()
+    want = {}
+    for doc, text in rows:
+        b, gone = text.encode(), bytearray(len(text))
+        for i in range(len(b) - 99):
+            w = hash(b[i : i + 100])
+            if w in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want[doc] = (len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest())
+    assert _run(documents(rows)) == want
