@@ -59,7 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, each row by itself.
 
-    Null sources are one source; texts without words have nothing to take and go.
+    Null sources are one source; null texts and texts without words come as often
+    as their source is taken whole.
     """
     scratch, p = Scratch(spark), free_prefix(docs)
     row, copies = f"{p}row", f"{p}copies"

@@ -16,7 +16,8 @@ closer pairs more rarely.
 Defined results: null labels; null, empty and zero vectors; and vectors with
 null or non-finite components link with nothing and stay. Vectors of different
 lengths are not compared. Repeated rows are copies of one vector and link with
-each other; rows without a vec_id never represent a class.
+each other; rows without a vec_id never represent a class; no vectors, no rows.
+Columns beside vec_id, label and embedding may have any name.
 """
 
 from __future__ import annotations

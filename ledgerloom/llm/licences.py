@@ -11,7 +11,9 @@ Its score is the share of its words' weight that the file has in place.
 Three base phrases are found wherever their words stand consecutively.
 
 Defined results: null and empty texts have no words, no labels and score 0;
-repeated rows are scanned one by one; no documents, no rows.
+repeated rows are scanned one by one; no documents, no rows; of templates that
+weigh the same, and of several notices in a file, all give their labels. Columns
+beside doc_id and text may have any name; long texts are scanned whole.
 """
 
 from __future__ import annotations

@@ -17,7 +17,13 @@ Whether a line goes is judged on the input, not on what is left.
 
 Defined results: null text stays null; shorter lines stay; rows without a
 doc_id come last; rows that repeat doc_id and text count as one document, so
-they lose the same lines; all columns and rows of the input return.
+they lose the same lines; all columns and rows of the input return, under their
+names, but for one named as the column of counts, which that replaces; lines and
+texts of any length are compared whole; no documents, no rows.
+
+A key hands back one line, so of two earlier lines whose 64-bit variant keys
+collide only one is looked at; at 1e13 variants that may lose about one line in
+a million, and never takes one wrongly.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Bands: 32 of 4 minima. A pair at the threshold of 0.75 shares no band with a
 probability of 5e-6; the signature checks lose about 1e-6 of such pairs.
 
 Defined results: null or empty texts, and texts of blanks only, have an empty
-set, link with nothing and stay. Repeated rows count as copies.
+set, link with nothing and stay. Repeated rows count as copies; no documents, no
+rows. Columns beside doc_id and text may have any name; texts of any length are
+taken whole, one at a time.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ or no more need be taken back (see ``fit``): no choice comes closer. Documents
 of a length are then taken in the order of a seeded hash, by salted ranks.
 
 Defined results: null text has size 0 and takes 0; null sources form one
-source; repeated rows are separate documents; an empty corpus gives no rows.
+source; repeated rows are separate documents; an empty corpus gives no rows;
+columns beside doc_id, text and source may have any name; long texts count
+whole.
 """
 
 from __future__ import annotations

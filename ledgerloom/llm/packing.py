@@ -11,7 +11,8 @@ pieces have is not one task.
 
 Defined results: null and empty texts are documents of one token, the closing
 id. Repeated rows are packed as documents of their own; pieces that agree in
-all columns are interchangeable.
+all columns are interchangeable. No documents, no rows. Columns beside doc_id
+and text may have any name; long texts are cut into as many pieces as they need.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ that it accepts and that overlap no base span are added.
 
 Offsets are code points, ends exclusive. The patterns run in time linear in
 the text. Defined results: null and empty texts have no spans; repeated rows
-are scanned one by one; no documents, no rows.
+are scanned one by one; no documents, no rows. Columns beside doc_id and text may
+have any name; long texts are scanned whole.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ pass over the documents without a shuffle.
 
 Defined results: null and empty texts have all features 0 and get a score;
 rows without a doc_id are scored and never learned from; without labels of
-both kinds every score is the (smoothed) share of good labels.
+both kinds every score is the (smoothed) share of good labels; rows that share a
+doc_id are scored one by one and learned from once (the least text); no
+documents, no rows. Columns beside doc_id and text may have any name; texts of
+any length are taken whole, one at a time.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ the verdict joins back to the host's documents: a document stays if it passes
 the rules itself and its host's shrunk rate is at most ``HOST_RATE``.
 
 Defined results: null and empty texts have no words and fail; null hosts form
-one host; repeated rows are judged one by one; no documents, no rows.
+one host; repeated rows are judged one by one; no documents, no rows. Columns
+beside doc_id, text and source may have any name; long texts count whole.
 """
 
 from __future__ import annotations

@@ -28,6 +28,8 @@ one window per class, and the classes meet once more by a 128-bit hash.
 Defined results: null and empty texts have no bytes; rows without a doc_id
 lose nothing and are nobody's source; rows that share a doc_id count as one
 document, what goes from one goes from all; an empty table gives no rows.
+Columns beside doc_id and text may have any name; a long text is worked on by
+the megabyte, and all of it counts.
 """
 
 from __future__ import annotations
