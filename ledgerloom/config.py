@@ -15,8 +15,10 @@ class MatchConfig:
     entry_order: ``first_seen`` or ``key``; it defines gl_idx.
     null_keys: keep lines without a journal id as an entry of their own.
     bad_amount_zero: an unreadable ledger amount counts as 0, else it is skipped.
-    exact_sum: add an entry's amounts as doubles in line order, else as decimals
-    of two places (independent of the order, and combined before the shuffle).
+    total: how an entry's amounts add up: ``ordered`` (doubles, one after the other
+    in line order), ``compensated`` (the same with Kahan's compensation) or
+    ``decimal`` (cents as decimals, which combine before the shuffle; amounts are
+    rounded to cents, and those from 1e15 on make the entry's amount null).
     """
 
     tolerance: float = 0.1
@@ -31,7 +33,7 @@ class MatchConfig:
     null_keys: bool = True
     bad_amount_zero: bool = True
     prefix_numbers: bool = True
-    exact_sum: bool = False
+    total: str = "ordered"
     round_output: bool = True
 
     @property
@@ -41,4 +43,4 @@ class MatchConfig:
 
 
 GREEDY = MatchConfig()
-MAXFLOW = MatchConfig(tolerance=0.01, day_rule="floor", need_description=True, similarity="indel", matcher="max_cardinality", description="first", entry_order="key", null_keys=False, bad_amount_zero=False, prefix_numbers=False, round_output=False)
+MAXFLOW = MatchConfig(tolerance=0.01, day_rule="floor", need_description=True, similarity="indel", matcher="max_cardinality", description="first", entry_order="key", null_keys=False, bad_amount_zero=False, prefix_numbers=False, total="compensated", round_output=False)

@@ -18,12 +18,16 @@ def trimmed(s: Column) -> Column:
 
 
 def parse_ts(s: Column, extra: bool = False) -> Column:
-    """TIMESTAMP_NTZ of a date text; two-digit years from 69 on are of the last century."""
+    """TIMESTAMP_NTZ of a date text; two-digit years from 69 on are of the last century.
+
+    ``extra`` reads whatever else is an ISO-like date or time of a day, with or without seconds.
+    """
     t = trimmed(s)
     read = lambda f: F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz")
     short = F.coalesce(*[read(f) for f in SHORT_YEAR])
     short = F.when(F.year(short) >= 2069, short - F.expr("INTERVAL 100 YEARS")).otherwise(short)
-    return F.coalesce(short, *[read(f) for f in LONG_YEAR + (EXTRA if extra else ())])
+    more = [*[read(f) for f in EXTRA], t.try_cast("timestamp_ntz")] if extra else []
+    return F.coalesce(short, *[read(f) for f in LONG_YEAR], *more)
 
 
 def parse_day(s: Column) -> Column:
@@ -39,8 +43,10 @@ def parse_amount_prefix(s: Column) -> Column:
 
 
 def parse_amount_whole(s: Column) -> Column:
-    """DOUBLE of a text that is a number as a whole."""
-    return trimmed(s).try_cast("double")
+    """DOUBLE of a text that is a number as a whole: no type letters behind it; ``inf`` words read as such, ``nan`` as null."""
+    t = trimmed(s)
+    endless = F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(t.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), t.try_cast("double")).when(t.rlike(r"^[+-]?(?i:inf|infinity)$"), endless)
 
 
 def fixed(x: Column, places: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,16 +11,22 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to, and read from, the session's shared checkpoint folder.
+    """df written to, and read from, the session's shared checkpoint folder; it goes when the driver's JVM ends.
 
-    A folder of our own is set only where the session names none, as in tests.
+    In local mode, where the session names no folder, one of our own is set.
+    Executors of a cluster would not see it, so there that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,5 +45,8 @@ def count_up(tagged: DataFrame, at: str, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
-    """df with its 0-based place in a total order: a range-partitioned sort, stored once."""
-    return count_up(cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())), "_at", name)
+    """df with its 0-based place in a total order: a range-partitioned sort, stored once.
+
+    df is stored first, as the sort reads it twice: for the ranges, and for the rows.
+    """
+    return count_up(cut(cut(df).orderBy(*order).withColumn("_at", F.monotonically_increasing_id())), "_at", name)

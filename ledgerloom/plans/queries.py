@@ -7,6 +7,8 @@ lines, with a bank row made for each by modular jitter.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,39 @@ def valid_rows(spark, sf_dir):
     return C.valid_bank(rows, GREEDY).join(strict, "bank_idx", "left").select("bank_idx", F.round("bank_amount", 2).alias("bank_amount"), F.coalesce("strict", F.lit(False)).alias("with_description"))
 
 
+def valid_entries(spark, sf_dir):
+    _, entries = _ev(spark, sf_dir)
+    k = F.col("gl_idx")
+    hole = lambda c, m: F.when(k % m != 0, F.col(c)).alias(c)
+    rows = entries.select("gl_idx", hole("gl_ts", 5), hole("gl_day", 5), F.when(k % 13 == 0, F.lit(float("inf"))).when(k % 7 != 0, F.col("gl_amount")).alias("gl_amount"), hole("gl_description", 11))
+    strict = C.valid_entries(rows, MAXFLOW).select("gl_idx", F.lit(True).alias("strict"))
+    return C.valid_entries(rows, GREEDY).join(strict, "gl_idx", "left").select("gl_idx", F.round("gl_amount", 2).alias("gl_amount"), F.coalesce("strict", F.lit(False)).alias("with_description"))
+
+
+def csv_fields(spark, sf_dir):
+    """Records with quotes at the start, in the middle and doubled."""
+    k = F.col("event_id").cast("string")
+    line = F.concat(k, F.lit(',x"'), "event_type", F.lit(', y"z,"a ""'), k, F.lit('"" b",,""'))
+    fields = S.split_record(line)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", *[F.get(fields, F.lit(i)).alias(f"f{i}") for i in range(5)], F.size(fields).cast("long").alias("n"))
+
+
+def missing_columns(spark, sf_dir):
+    """Ledger lines and bank rows of a table that has amounts only."""
+    raw = _texts(spark, sf_dir).select(F.col("event_id").alias("_row"), F.col("amount_text").alias("amount"))
+    lines, bank = S.ledger_lines(raw, GREEDY), S.bank_rows(raw, GREEDY)
+    return lines.join(bank, lines.line_no == bank.bank_idx).select("line_no", "journal_entry_id", "datetime", "description", "bank_datetime", "bank_description", F.col("ts").isNull().alias("undated"))
+
+
+def ledger_totals(spark, sf_dir):
+    """Amounts below a cent and beyond 1e15, added one after the other and in cents."""
+    n = F.col("line_no.l_linenumber")
+    lines = S.lineitem_lines(spark, sf_dir).withColumn("amount", F.when(n == 1, F.lit(2e15)).when(n == 2, F.lit(None).cast("double")).otherwise(F.col("amount") * F.lit(0.001)))
+    ordered = aggregate_entries(lines, GREEDY, number=False).select("journal_entry_id", F.col("gl_amount").alias("ordered_total"))
+    cents = aggregate_entries(lines.where(n > 2), replace(MAXFLOW, total="decimal"), number=False).select("journal_entry_id", F.round("gl_amount", 2).alias("cents_total"))
+    return ordered.join(cents, "journal_entry_id", "left")
+
+
 def ledger_agg_concat(spark, sf_dir):
     out = aggregate_entries(S.lineitem_lines(spark, sf_dir), GREEDY)
     return out.select("gl_idx", "journal_entry_id", "gl_datetime", F.round("gl_amount", 2).alias("gl_amount"), "gl_description")
@@ -170,6 +205,12 @@ def match_greedy(spark, sf_dir):
     return found.select("bank_idx", "gl_idx", F.round("score", 6).alias("score"))
 
 
+def pick_order(spark, sf_dir):
+    """The matches with their place in the output's order."""
+    found = M.match(_pairs(spark, sf_dir), GREEDY)
+    return numbered(found, [F.col("score").desc(), "bank_idx", "gl_idx"], "place").select("place", "bank_idx", "gl_idx")
+
+
 def match_greedy_lines(spark, sf_dir):
     found = M.match(C.candidates(*_li(spark, sf_dir), GREEDY), GREEDY)
     return found.select("bank_idx", "gl_idx", F.round("score", 6).alias("score"))
@@ -251,6 +292,11 @@ _ORACLE = {
 FROM (SELECT *, amount_text = 'inf' AS inf, try_cast(nullif(regexp_extract(amount_text, '^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE) AS p, CASE WHEN amount_text = 'inf' THEN NULL ELSE try_cast(trim(amount_text) AS DOUBLE) END AS w FROM ({_TEXTS}))""",
     "row_index": "SELECT event_id AS bank_idx, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events WHERE event_type = 'purchase'",
     "valid_rows": "SELECT event_id AS bank_idx, round(value, 2) AS bank_amount, event_id % 11 <> 0 AS with_description FROM events WHERE event_type = 'purchase' AND event_id % 5 <> 0 AND event_id % 7 <> 0",
+    "valid_entries": "SELECT event_id AS gl_idx, round(value, 2) AS gl_amount, event_id % 11 <> 0 AS with_description FROM events WHERE event_type = 'error' AND event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 13 <> 0",
+    "csv_fields": "SELECT event_id, event_id::VARCHAR AS f0, 'x' || event_type || ', yz' AS f1, 'a \"' || event_id || '\" b' AS f2, '' AS f3, '' AS f4, 5::BIGINT AS n FROM events",
+    "missing_columns": "SELECT event_id AS line_no, event_id::VARCHAR AS journal_entry_id, '' AS datetime, '' AS description, '' AS bank_datetime, '' AS bank_description, true AS undated FROM events",
+    "ledger_totals": f"""WITH {_LINES}, v AS (SELECT l_orderkey, n, l_linenumber, CASE l_linenumber WHEN 1 THEN 2e15::DOUBLE WHEN 2 THEN 0::DOUBLE ELSE l_extendedprice * 0.001::DOUBLE END AS v FROM lines)
+SELECT l_orderkey::VARCHAR AS journal_entry_id, list_reduce(list(v ORDER BY n), lambda a, b: a + b) AS ordered_total, round((sum(round(v, 2)::DECIMAL(18,2)) FILTER (l_linenumber > 2))::DOUBLE, 2) AS cents_total FROM v GROUP BY l_orderkey""",
     "ledger_agg_concat": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY min(n)) - 1 AS gl_idx, l_orderkey::VARCHAR AS journal_entry_id, strftime(arg_min(l_shipdate, n), '%Y-%m-%d') AS gl_datetime, round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS gl_amount, string_agg(p_name, ' ' ORDER BY n) AS gl_description FROM lines GROUP BY l_orderkey",
     "ledger_agg_first": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY l_orderkey::VARCHAR) - 1 AS gl_idx, l_orderkey::VARCHAR AS journal_entry_id, strftime(arg_min(l_shipdate, n), '%Y-%m-%d') AS gl_day, round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS gl_amount, arg_min(p_name, n) FILTER (l_linenumber <> 1) AS gl_description FROM lines GROUP BY l_orderkey",
     "entry_date_lookup": f"WITH {_LINES}, d AS (SELECT l_orderkey, arg_min(l_shipdate, n) AS t FROM lines GROUP BY l_orderkey) SELECT o_orderkey::VARCHAR AS journal_entry_id, strftime(t, '%Y-%m-%d') AS entry_day FROM orders LEFT JOIN d ON o_orderkey = l_orderkey",
@@ -262,9 +308,15 @@ FROM (SELECT *, amount_text = 'inf' AS inf, try_cast(nullif(regexp_extract(amoun
     "candidates_strict": f"WITH {_EV} SELECT bank_idx, gl_idx, levenshtein(k.txt, e.txt)::BIGINT AS distance FROM bank k JOIN entry e ON floor((epoch_us(k.ts) - epoch_us(e.ts)) / 86400000000.0) BETWEEN -15 AND 15 AND abs(abs(k.amount) - abs(e.amount)) <= 0.01::DOUBLE",
     "jaccard_pairs": f"WITH {_CAND} SELECT b AS bank_idx, g AS gl_idx, s AS score FROM cand",
     "levenshtein_pairs": f"SELECT p_partkey, levenshtein(x, y)::BIGINT AS distance FROM ({_NAMES})",
+    # Rows of the common-subsequence table, a step for each letter of y; within a row the running maximum.
+    "indel_ratio_pairs": f"""WITH RECURSIVE p AS ({_NAMES}), d AS (SELECT DISTINCT x, y FROM p), r AS (
+  SELECT x, y, 0 AS j, list_transform(range(0, len(x) + 1), lambda i: 0::BIGINT) AS row FROM d
+  UNION ALL SELECT x, y, j + 1, list_transform(range(1, len(x) + 2), lambda i: list_max(list_transform(range(1, i + 1), lambda k: greatest(row[k], CASE WHEN k > 1 AND x[k - 1] = y[j + 1] THEN row[k - 1] + 1 ELSE 0 END)))) FROM r WHERE j < len(y))
+SELECT p_partkey, round(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0::DOUBLE * row[len(x) + 1] / (len(x) + len(y)) END, 6) AS ratio FROM p JOIN r USING (x, y) WHERE j = len(y)""",
     "jaccard_names": f"SELECT p_partkey, round({_JACCARD}, 6) AS score FROM (SELECT p_partkey, {_TOKENS.format('x')} AS a, {_TOKENS.format('y')} AS b FROM ({_NAMES}))",
     "edge_order": f"WITH {_CAND} SELECT b AS bank_idx, g AS gl_idx, row_number() OVER (ORDER BY s DESC, b, g) AS edge_rank FROM cand",
     "match_greedy": f"WITH RECURSIVE {_CAND}, {_GREEDY} SELECT b AS bank_idx, g AS gl_idx, s AS score FROM matched",
+    "pick_order": f"WITH RECURSIVE {_CAND}, {_GREEDY} SELECT row_number() OVER (ORDER BY s DESC, b, g) - 1 AS place, b AS bank_idx, g AS gl_idx FROM matched",
     "match_greedy_lines": f"WITH RECURSIVE {_LI}, {_GREEDY} SELECT b AS bank_idx, g AS gl_idx, s AS score FROM matched",
     "match_greedy_rounds": f"WITH RECURSIVE {_CAND}, {_GREEDY} SELECT b AS bank_idx, g AS gl_idx, s AS score FROM matched",
     "export_records": f"WITH RECURSIVE {_CAND}, {_GREEDY} {_RECORD}",
@@ -275,7 +327,7 @@ SELECT *, round(100.0::DOUBLE * matched / bank_transactions, 1) AS bank_match_ra
     "unmatched_entry": f"WITH RECURSIVE {_CAND}, {_GREEDY} SELECT gl_idx FROM entry WHERE gl_idx NOT IN (SELECT g FROM matched)",
 }
 _QUERIES = (
-    parse_dates, parse_amounts, row_index, valid_rows, ledger_agg_concat, ledger_agg_first, entry_date_lookup, tokens, concat_text, candidates_band, candidates_band_lines, candidates_days, candidates_strict,
+    parse_dates, parse_amounts, row_index, valid_rows, valid_entries, csv_fields, missing_columns, ledger_totals, pick_order, ledger_agg_concat, ledger_agg_first, entry_date_lookup, tokens, concat_text, candidates_band, candidates_band_lines, candidates_days, candidates_strict,
     jaccard_pairs, levenshtein_pairs, indel_ratio_pairs, jaccard_names, edge_order, match_greedy, match_greedy_lines, match_greedy_rounds, match_max_cardinality, flow_value, export_records, export_json,
     export_max_cardinality, summary, unmatched_bank, unmatched_entry,
 )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,22 +12,48 @@ from ..functions.text import tokenize
 from ..operators.numbering import count_up
 
 
+#: A field, behind its comma: text without quotes or commas, and parts in quotes (to the line's end, if none closes them).
+_FIELD = r',((?:[^",]++|"(?:[^"]++|"")*+(?:"|$))*+)'
+_QUOTED = r'"((?:[^"]++|"")*+)(?:"|$)'
+
+
+def split_record(line: Column) -> Column:
+    """The fields of a line: a quote opens or closes quoted text anywhere in a field, and within it two are one."""
+    plain = lambda f: F.when(F.contains(f, F.lit('"')), F.replace(F.regexp_replace(f, _QUOTED, "$1"), F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1)), plain)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, under their exact header names, with ``_row`` (from 0, in file order).
 
-    Short rows are padded with nulls; a field in quotes may hold commas, doubled
-    quotes and line ends (a field must begin with its quote); of columns with one
-    name the last counts. An empty file is an
-    error, a header alone is an empty table.
+    Short rows are padded with nulls and empty fields are null; blank lines do
+    not count; of columns with one name the last counts. A field may have quoted
+    parts anywhere, which may hold commas and doubled quotes. Lines are read
+    and split where they lie, by as many tasks as the file has blocks. Only a
+    file with a line end in quotes (a line with an odd number of quotes) is
+    read whole, by one task, and there a quoted field must begin with its quote.
+    An empty file is an error, a header alone is an empty table. Of a folder
+    with several files, each begins with the header.
     """
-    head = spark.read.text(path).limit(1).collect()
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"))
+    head = lines.limit(1).collect()
     if not head:
         raise ValueError(f"Empty input: {path}")
-    names = next(csv.reader([head[0][0].lstrip("﻿").rstrip("\r")]))
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
+    line = head[0][0]
+    names = spark.range(1).select(split_record(F.lit(line.lstrip("\ufeff")))).first()[0]
     last = {name: i for i, name in enumerate(names)}
-    rows = rows.select(*[F.col(f"_c{i}").alias(name) for name, i in last.items()], F.monotonically_increasing_id().alias("_at"))
+    odd = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))
+    if lines.where(odd % 2 == 1).take(1):
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
+        rows = rows.select(*[F.col(f"_c{i}").alias(name) for name, i in last.items()], F.monotonically_increasing_id().alias("_at"))
+    else:
+        # The header is the first line of all, or in a folder of files the line that equals it in a file's first block.
+        raw = spark.read.text(path)
+        first = (F.col("_metadata.file_block_start") == 0) & (F.col("line") == line) if len(raw.inputFiles()) > 1 else F.col("_id") == 0
+        rows = raw.select(F.regexp_replace("value", r"\r$", "").alias("line"), "_metadata", F.monotonically_increasing_id().alias("_id"))
+        rows = rows.where((F.col("line") != "") & ~first).select(split_record(F.col("line")).alias("_f"), F.monotonically_increasing_id().alias("_at"))
+        rows = rows.select(*[F.nullif(F.get("_f", F.lit(i)), F.lit("")).alias(name) for name, i in last.items()], "_at")
     return count_up(rows, "_at", "_row")
 
 

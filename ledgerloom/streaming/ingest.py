@@ -7,7 +7,6 @@ static table of entries need no state, since an entry side is fixed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..operators.candidates import candidates
@@ -24,9 +23,3 @@ def bank_stream(spark: SparkSession, folder: str, config: MatchConfig) -> DataFr
 def candidate_stream(bank: DataFrame, entries: DataFrame, config: MatchConfig) -> DataFrame:
     """Candidate pairs of streamed bank rows with a static table of entries."""
     return candidates(bank, entries, config)
-
-
-def daily_totals(bank: DataFrame, lateness: str = "3 days") -> DataFrame:
-    """Count and sum of bank rows by day, final once the watermark has passed."""
-    rows = bank.where(F.col("bank_ts").isNotNull()).withColumn("at", F.col("bank_ts").cast("timestamp")).withWatermark("at", lateness)
-    return rows.groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.sum("bank_amount").alias("amount"))

@@ -48,9 +48,48 @@ def _dense_flow(edges, n):
 
 
 def test_augmenting_pairs_are_those_of_a_dense_flow():
-    for seed in range(150):
-        edges = _graph(seed, 7)
-        assert set(M.augmenting_pairs([(b, e) for b, e, _ in edges])) == _dense_flow(edges, 7)
+    for seed in range(3000):
+        edges = _graph(seed, n := 1 + seed % 9)
+        assert set(M.augmenting_pairs([(b, e) for b, e, _ in edges])) == _dense_flow(edges, n)
+
+
+def test_a_vertex_cover_of_equal_size(spark):
+    """Koenig: a cover of all pairs with as many vertices as there are matches proves that no more are possible."""
+    for seed in range(300):
+        edges = [(b, e) for b, e, _ in _graph(seed, 14)]
+        mate = {b: e for b, e in M.augmenting_pairs(edges)}
+        back = {e: b for b, e in mate.items()}
+        reach, open_ = {("b", b) for b, _ in edges if b not in mate}, [b for b, _ in edges if b not in mate]
+        while open_:
+            b = open_.pop()
+            for x, e in edges:
+                if x == b and ("e", e) not in reach:
+                    reach.add(("e", e))
+                    if e in back and ("b", back[e]) not in reach:
+                        reach.add(("b", back[e]))
+                        open_.append(back[e])
+        cover_b, cover_e = {b for b, _ in edges if ("b", b) not in reach}, {e for _, e in edges if ("e", e) in reach}
+        assert all(b in cover_b or e in cover_e for b, e in edges) and len(cover_b) + len(cover_e) == len(mate)
+
+
+def test_maximum_by_components(spark):
+    """An island beyond the limit is matched by its components, with the pairs of the whole."""
+    edges = [(100 * k + b, 100 * k + e, s) for k in range(6) for b, e, s in _graph(k, 8)]
+    want = set(M.augmenting_pairs([(b, e) for b, e, _ in edges]))
+    assert _set(M.match(_pairs(spark, edges), MAXFLOW, island_pairs=5)) == want
+    placed = {(r["bank_idx"], r["gl_idx"]): r["island"] for r in M.components(_pairs(spark, edges)).collect()}
+    assert len(placed) == len(edges)
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for b, e, _ in edges:
+        x, y = sorted((top(2 * b), top(2 * e + 1)))
+        up[y] = x
+    assert all(island == top(2 * b) for (b, _), island in placed.items())
 
 
 def test_augmenting_path_beats_greedy():

@@ -20,10 +20,17 @@ def test_dates(spark):
 def test_amounts(spark):
     got = _one(spark, ["12abc", " 12 ", "1,234", "", "-50", ".5e1x", "$5", None, "inf", "-inf", "1e999"], parse_amount_prefix)
     assert got == [12.0, 12.0, 1.0, None, -50.0, 5.0, None, None, float("inf"), float("-inf"), None]
-    assert _one(spark, ["12abc", " 12 ", "1,234", "-5e1"], parse_amount_whole) == [None, 12.0, None, -50.0]
+    assert _one(spark, ["12abc", " 12 ", "1,234", "-5e1", "1d", "1f", "2L", "nan", "-inf", ".5", "5.", "."], parse_amount_whole) == [None, 12.0, None, -50.0, None, None, None, None, float("-inf"), 0.5, 5.0, None]
     [nan] = _one(spark, ["NaN"], parse_amount_prefix)
     assert nan != nan
 
 
 def test_fixed(spark):
     assert _one(spark, ["2", "-0.5"], lambda s: fixed(s.cast("double"), 2)) == ["2.00", "-0.50"]
+
+
+def test_more_dates(spark):
+    texts = ["2024-01-02 09:05", "2024-01-02 09:05:07", "2024-01-02T09:05", "2024-01-02 09:05:07.5", "x"]
+    at = dt.datetime(2024, 1, 2, 9, 5)
+    assert _one(spark, texts, lambda s: parse_ts(s, extra=True)) == [at, at.replace(second=7), at, at.replace(second=7, microsecond=500_000), None]
+    assert _one(spark, texts[:1], parse_ts) == [None]
