@@ -13,7 +13,7 @@ from .numbering import cut
 
 SCHEMA = "bank_idx long, gl_idx long, score double"
 #: Pairs of an island that one task may hold, at about 200 bytes each in Python; larger islands go through rounds first.
-ISLAND_PAIRS = 500_000
+ISLAND_PAIRS = 1_000_000
 
 
 def greedy_pairs(bank: np.ndarray, entry: np.ndarray, score: np.ndarray) -> np.ndarray:
