@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions.text import indel_ratio, jaccard
+from .numbering import cut, numbered
+
+#: Distinct amount buckets that one task may rank.
+WINDOW_BUCKETS = 1_000_000
 
 
 def _valid(df: DataFrame, side: str, config: MatchConfig) -> DataFrame:
@@ -73,14 +77,16 @@ def islands(pairs: DataFrame, config: MatchConfig) -> DataFrame:
     """pairs with ``island``: no candidate connects two islands.
 
     Amounts are cut into buckets of two tolerances; a gap of more than one
-    bucket separates islands. Only the distinct buckets pass through the window.
+    bucket separates islands. In a run without gaps, a bucket less its rank among
+    the distinct buckets is constant, which names the island; the ranks take a
+    window only where the buckets are few, else a range-partitioned sort.
     """
     width = 2 * config.tolerance
     bucket = lambda c: F.floor(F.col(c) / width)
     used = pairs.select(F.explode(F.array(bucket("bank_abs"), bucket("gl_abs"))).alias("bucket")).distinct()
-    order = Window.orderBy("bucket")
-    opened = used.withColumn("new", (F.col("bucket") - F.coalesce(F.lag("bucket").over(order), F.col("bucket") - 9) > 1).cast("long"))
-    named = opened.select("bucket", F.sum("new").over(order).alias("island"))
+    used = cut(used)
+    ranked = used.withColumn("r", F.row_number().over(Window.orderBy("bucket"))) if used.count() <= WINDOW_BUCKETS else numbered(used, ["bucket"], "r")
+    named = ranked.select("bucket", (F.col("bucket") - F.col("r")).alias("island"))
     return pairs.withColumn("bucket", bucket("bank_abs")).join(named, "bucket").drop("bucket")
 
 

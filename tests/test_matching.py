@@ -143,3 +143,13 @@ def test_no_nested_loop_in_the_plan(spark):
     bank, entry = _sides(spark)
     plan = C.candidates(bank, entry, GREEDY)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_islands_by_window_and_by_sort(spark, monkeypatch):
+    rows = [(i, i, a, a + 0.05, 1.0) for i, a in enumerate([0.0, 0.1, 0.3, 0.5, 5.0, 5.3, 9.0, 9.05, 100.0])]
+    pairs = spark.createDataFrame(rows, "bank_idx long, gl_idx long, bank_abs double, gl_abs double, score double")
+    by_island = lambda: sorted(sorted(r["x"]) for r in C.islands(pairs, GREEDY).groupBy("island").agg(F.collect_list("bank_idx").alias("x")).collect())
+    want = by_island()
+    assert len(want) > 3
+    monkeypatch.setattr(C, "WINDOW_BUCKETS", 2)
+    assert by_island() == want
