@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but the six ASCII blanks.
@@ -174,6 +174,22 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """df with a place ``_at`` in the order and, under the given names, the sums over all rows before.
+
+    A range-partitioned sort is stored; sums run within its partitions, and the
+    partitions' totals (a row for each) give each its start.
+    """
+    rows = scratch.cut(df.orderBy(*order).select(*df.columns, *[c.cast("long").alias(f"_{n}") for n, c in sums.items()], F.monotonically_increasing_id().alias("_at")))
+    rows = rows.withColumn("_p", F.shiftright("_at", 33))
+    totals = rows.groupBy("_p").agg(*[F.sum(f"_{n}").alias(f"_t{n}") for n in sums])
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_p", *[F.coalesce(F.sum(f"_t{n}").over(earlier), F.lit(0)).alias(f"_s{n}") for n in sums])
+    within = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(*df.columns, "_at", "_p", *[F.coalesce(F.sum(f"_{n}").over(within), F.lit(0)).alias(n) for n in sums])
+    return rows.join(F.broadcast(starts), "_p").select(*df.columns, "_at", *[(F.col(n) + F.col(f"_s{n}")).alias(n) for n in sums])
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", salts: int = 256) -> DataFrame:
     """0-based rank of each row among the rows of its keys, without one task per key.
 

@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, salted_rank
+from .common import WORD, Scratch, running, salted_rank
 
 CAP, SEED, RESERVE = 3, 17, 20_000
 
@@ -38,19 +38,24 @@ def sizes(docs: DataFrame, *also: str) -> DataFrame:
 
 
 def targets(totals: DataFrame, cap: float = CAP) -> DataFrame:
-    """source, source_size, target from (source, source_size), one row per source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = totals.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1)
-    order = [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()]
-    below = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    here_on = Window.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    all_ = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """source, source_size, target from (source, source_size), one row per source.
+
+    Ranks and running sums over the sources come from range-partitioned sorts,
+    so a corpus of very many sources does not meet in one task.
+    """
+    scratch = Scratch(totals.sparkSession)
+    weighed = running(totals, [F.col("source").asc_nulls_last()], {"before": F.lit(1)}, scratch).withColumn("weight", F.col("before") % 3 + 1).drop("before", "_at")
+    by_share = [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()]
+    placed = running(weighed, by_share, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}, scratch)
+    whole = placed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     # With all sources before this one at their caps: the words that each unit of weight gets.
-    level = (F.sum("source_size").over(all_) - cap * F.coalesce(F.sum("source_size").over(below), F.lit(0))) / F.sum("weight").over(here_on)
-    leveled = weighed.withColumn("level", level.cast("double")).withColumn("open", F.col("level") <= cap * F.col("source_size") / F.col("weight"))
-    # From the first open source on, its level holds for all.
-    held = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return leveled.withColumn("held", held).select("source", "source_size", F.when(F.col("held").isNull(), cap * F.col("source_size")).otherwise(F.least(F.col("held") * F.col("weight"), cap * F.col("source_size"))).cast("double").alias("target"))
+    level = (F.lit(whole["size"]) - cap * F.col("size_before")) / (F.lit(whole["weight"]) - F.col("weight_before"))
+    leveled = placed.withColumn("level", level.cast("double"))
+    # From the first source on that stays below its cap, its level holds for all.
+    held = leveled.where(F.col("level") <= cap * F.col("source_size") / F.col("weight")).agg(F.min(F.struct("_at", "level")).alias("m")).first()["m"]
+    full = cap * F.col("source_size")
+    target = full if held is None else F.when(F.col("_at") < held["_at"], full).otherwise(F.least(F.lit(held["level"]) * F.col("weight"), full))
+    return leveled.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> dict[int, int]:
