@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line (``\\n``-split) of at least ``LEAST_WORDS`` words goes if an earlier line
-of the corpus (smaller doc_id, or same document and earlier) is the same, or,
-where both have ``EDIT_WORDS`` words or more, is one word edit away: a word
-inserted, deleted or replaced. Words are compared without case and blanks.
+A line (``\\n``-split) with a word goes if an earlier line of the corpus (smaller
+doc_id, or same document and earlier) is the same, or, where both have
+``EDIT_WORDS`` words or more, is one word edit away: a word inserted, deleted or
+replaced. One edit in ten words is the bound; shorter lines allow none. Words
+are compared without case and blanks. ``least_words`` spares shorter lines.
 
 Equal lines collapse into classes that know their earliest place. One edit
 leaves one of a line's halves whole, so only classes that share a half with
@@ -15,7 +16,7 @@ the one line found is then compared word by word, and the later line goes.
 
 Whether a line goes is judged on the input, not on what is left.
 
-Defined results: null text stays null; shorter lines stay; rows without a
+Defined results: null text stays null; blank lines stay; rows without a
 doc_id come last; rows that repeat doc_id and text count as one document, so
 they lose the same lines; all columns and rows of the input return, under their
 names, but for one named as the column of counts, which that replaces; lines and
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, Scratch, bounded, free_prefix
 
-LEAST_WORDS, EDIT_WORDS = 5, 10
+EDIT_WORDS = 10
 _LAST = 2**63 - 1
 
 
@@ -48,9 +49,9 @@ def _count(s: Column, c: str) -> Column:
     return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c), F.lit("")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     """doc, t, line (from 0), the line in lower case with single spaces between
-    its words, and the number of words, of every line that is long enough."""
+    its words, and the number of words, of every line of least_words or more (at least one)."""
     raw = F.col("raw")
     odd = raw.startswith(" ") | raw.endswith(" ")
     for s in ("  ", "\t", "\x0b", "\x0c", "\r"):
@@ -58,7 +59,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs).where("text is not null").select("doc", "t", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
     plain = F.when(odd, F.trim(F.regexp_replace(raw, f"[{BLANK}]+", " "))).otherwise(raw)
     rows = rows.select("doc", "t", "line", plain.alias("words")).where("words <> ''")
-    return rows.withColumn("n", _count(F.col("words"), " ") + 1).where(F.col("n") >= LEAST_WORDS)
+    return rows.withColumn("n", _count(F.col("words"), " ") + 1).where(F.col("n") >= least_words)
 
 
 def _first(words: Column, n: Column) -> Column:
@@ -82,10 +83,10 @@ def _without(words: Column, n: Column, i: Column) -> Column:
     return F.when(i < 0, words).otherwise(rest)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, least_words: int = 1) -> DataFrame:
     """doc, t and the numbers of the lines that go, for documents that lose some."""
     words, n = F.col("words"), F.col("n")
-    hashed = scratch.cut(_lines(docs).select("doc", "t", "line", "n", F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2"), *_halves(words, n)))
+    hashed = scratch.cut(_lines(docs, least_words).select("doc", "t", "line", "n", F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2"), *_halves(words, n)))
     place = F.struct("doc", "t", "line")
     first = [F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]
     classes = scratch.cut(hashed.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies"), *first))
@@ -95,7 +96,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     near = halves.join(met, "k", "left_semi").select("h1", "h2").distinct()
     near = scratch.cut(classes.select("h1", "h2", "at").join(near, ["h1", "h2"], "left_semi"))
     wanted = near.select(F.col("at.doc").alias("doc_")).distinct()
-    lines = _lines(docs.select("doc_id", "text").join(bounded(wanted), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("doc_"), "left_semi"))
+    lines = _lines(docs.select("doc_id", "text").join(bounded(wanted), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("doc_"), "left_semi"), EDIT_WORDS)
     own = near.select(F.col("at.doc").alias("doc"), F.col("at.t").alias("t"), F.col("at.line").alias("line"))
     texts = scratch.cut(lines.join(own, ["doc", "t", "line"]).dropDuplicates(["doc", "t", "line"]).select(place.alias("at"), "words", "n"))
 
@@ -147,24 +148,24 @@ def dedup(docs: DataFrame, removed: DataFrame, counted: str | None = "_line_dedu
     return docs.join(gone, on, "left").select(*own, *([counts.alias(counted)] if counted else []))
 
 
-def dedup_lines(docs: DataFrame, counted: str | None = "_line_dedup") -> DataFrame:
-    """docs without the lines that an earlier line repeats; the column ``counted`` counts them."""
+def dedup_lines(docs: DataFrame, counted: str | None = "_line_dedup", least_words: int = 1) -> DataFrame:
+    """docs without the lines that an earlier line repeats; the column ``counted`` counts them. Lines of fewer than least_words stay."""
     scratch = Scratch(docs.sparkSession)
-    return dedup(docs, scratch.cut(removed_lines(docs, scratch)), counted)
+    return dedup(docs, scratch.cut(removed_lines(docs, scratch, least_words)), counted)
 
 
 #: The same in DuckDB SQL, on words instead of hashes.
 SQL = rf"""
 WITH l AS (SELECT doc_id, line - 1 AS line, lower(raw) AS raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT doc_id, line, regexp_extract_all(raw, '[^{BLANK}]+') AS words FROM l),
-c AS (SELECT words, min((doc_id, line)) AS place FROM w WHERE len(words) >= {LEAST_WORDS} GROUP BY words),
+c AS (SELECT words, min((doc_id, line)) AS place FROM w WHERE words <> [] GROUP BY words),
 e AS (SELECT * FROM c WHERE len(words) >= {EDIT_WORDS}),
 v AS (SELECT place, i, list_concat(words[:i-1], words[i+1:]) AS rest FROM (SELECT place, words, unnest(range(1, len(words) + 1)) AS i FROM e)),
 near AS (
   SELECT a.place FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i AND b.place < a.place
   UNION SELECT a.place FROM v a JOIN e b ON a.rest = b.words AND b.place < a.place
   UNION SELECT a.place FROM e a JOIN v b ON a.words = b.rest AND b.place < a.place),
-gone AS (SELECT w.doc_id, w.line FROM w JOIN c ON w.words = c.words WHERE len(w.words) >= {LEAST_WORDS} AND ((w.doc_id, w.line) <> c.place OR c.place IN (SELECT place FROM near))),
+gone AS (SELECT w.doc_id, w.line FROM w JOIN c ON w.words = c.words WHERE (w.doc_id, w.line) <> c.place OR c.place IN (SELECT place FROM near)),
 k AS (SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id)
 SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT AS n_removed,
   sha256(coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda s, i: NOT list_contains(coalesce(lines, []), i - 1)), chr(10)), '')) AS kept_sha256

@@ -12,13 +12,13 @@ def _distance(a, b):
     return row[-1]
 
 
-def _brute(rows):
+def _brute(rows, least=1):
     """Texts without the lines that an earlier one repeats, by comparing all pairs."""
     places = [(d, k, line.lower().split()) for d, t in sorted(rows) for k, line in enumerate((t or "").split("\n"))]
     gone = {
         (d, k)
         for i, (d, k, a) in enumerate(places)
-        if len(a) >= 5 and any(a == b or (min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) <= 1 and _distance(a, b) <= 1) for _, _, b in places[:i])
+        if len(a) >= least and any(a == b or (min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) <= 1 and _distance(a, b) <= 1) for _, _, b in places[:i])
     }
     return {d: (None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if (d, k) not in gone)) for d, t in rows}
 
@@ -42,6 +42,14 @@ def test_brute_force(documents):
     want = _brute(rows)
     assert got == want
     assert any(want[d] != t for d, t in rows)
+    spared = {r["doc_id"]: r["text"] for r in X.dedup_lines(documents(rows), least_words=5).collect()}
+    assert spared == _brute(rows, 5) != want
+
+
+def test_short_lines_go_if_equal_and_blank_ones_stay(documents):
+    rows = [(1, "Home\n\nRead more\n}"), (2, "home\n \nread  more\nRead most\n}"), (3, "Home"), (4, "\n\n")]
+    got = {r["doc_id"]: r["text"] for r in X.dedup_lines(documents(rows)).collect()}
+    assert got == {1: rows[0][1], 2: " \nRead most", 3: "", 4: "\n\n"}
 
 
 def test_nulls_repeats_and_no_rows(documents):
