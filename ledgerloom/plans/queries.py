@@ -18,6 +18,7 @@ from ..functions.text import concat_nonempty, indel_ratio, jaccard, tokenize
 from ..operators import candidates as C
 from ..operators import matching as M
 from ..operators import report as R
+from ..operators import rows as W
 from ..operators.numbering import numbered
 from ..operators.ledger import aggregate_entries, entry_dates
 from ..sources import tables as S
@@ -201,7 +202,7 @@ def edge_order(spark, sf_dir):
 
 
 def match_greedy(spark, sf_dir):
-    found = M.match(_pairs(spark, sf_dir), GREEDY)
+    found = W.match_rows(*_ev(spark, sf_dir), GREEDY)
     return found.select("bank_idx", "gl_idx", F.round("score", 6).alias("score"))
 
 
