@@ -234,7 +234,7 @@ def flow_value(spark, sf_dir):
 
 def export_records(spark, sf_dir):
     bank, entries = _ev(spark, sf_dir)
-    return R.records(M.match(C.candidates(bank, entries, GREEDY), GREEDY), bank, entries, GREEDY)
+    return R.records(W.match_rows(bank, entries, GREEDY), bank, entries, GREEDY)
 
 
 def export_json(spark, sf_dir):
