@@ -249,7 +249,7 @@ def export_max_cardinality(spark, sf_dir):
 
 def summary(spark, sf_dir):
     bank, entries = _ev(spark, sf_dir)
-    return R.summary(M.match(C.candidates(bank, entries, GREEDY), GREEDY), bank, entries)
+    return R.summary(W.match_rows(bank, entries, GREEDY), bank, entries)
 
 
 def unmatched_bank(spark, sf_dir):
