@@ -254,7 +254,7 @@ def summary(spark, sf_dir):
 
 def unmatched_bank(spark, sf_dir):
     bank, entries = _ev(spark, sf_dir)
-    return R.unmatched(bank, M.match(C.candidates(bank, entries, GREEDY), GREEDY), "bank_idx").select("bank_idx")
+    return R.unmatched(bank, W.match_rows(bank, entries, GREEDY), "bank_idx").select("bank_idx")
 
 
 def unmatched_entry(spark, sf_dir):
