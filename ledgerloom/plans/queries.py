@@ -259,7 +259,7 @@ def unmatched_bank(spark, sf_dir):
 
 def unmatched_entry(spark, sf_dir):
     bank, entries = _ev(spark, sf_dir)
-    return R.unmatched(entries, M.match(C.candidates(bank, entries, GREEDY), GREEDY), "gl_idx").select("gl_idx")
+    return R.unmatched(entries, W.match_rows(bank, entries, GREEDY), "gl_idx").select("gl_idx")
 
 
 _EV = """bank AS (SELECT event_id AS bank_idx, ts, ts::DATE AS day, value AS amount, props AS txt FROM events WHERE event_type = 'purchase'),
