@@ -198,7 +198,7 @@ def jaccard_names(spark, sf_dir):
 
 
 def edge_order(spark, sf_dir):
-    return R.edge_order(_pairs(spark, sf_dir)).select("bank_idx", "gl_idx", "edge_rank")
+    return W.ranked_edges(*_ev(spark, sf_dir), GREEDY)
 
 
 def match_greedy(spark, sf_dir):
