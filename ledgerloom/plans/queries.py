@@ -224,7 +224,7 @@ def match_greedy_rounds(spark, sf_dir):
 
 
 def match_max_cardinality(spark, sf_dir):
-    found = M.match(_pairs(spark, sf_dir, MAXFLOW), MAXFLOW)
+    found = W.maximum_rows(*_ev(spark, sf_dir, MAXFLOW), MAXFLOW)
     return found.select("bank_idx", "gl_idx", F.col("score").cast("long").alias("distance"))
 
 
