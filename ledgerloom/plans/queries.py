@@ -243,7 +243,7 @@ def export_json(spark, sf_dir):
 
 def export_max_cardinality(spark, sf_dir):
     bank, entries = _ev(spark, sf_dir, MAXFLOW)
-    out = R.records(M.match(C.candidates(bank, entries, MAXFLOW), MAXFLOW), bank, entries, MAXFLOW)
+    out = R.records(W.maximum_rows(bank, entries, MAXFLOW), bank, entries, MAXFLOW)
     return out.withColumn("score", F.round("score", 6))
 
 
