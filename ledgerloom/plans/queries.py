@@ -218,8 +218,8 @@ def match_greedy_lines(spark, sf_dir):
 
 
 def match_greedy_rounds(spark, sf_dir):
-    # Rounds while more than a task's worth of pairs is live, then the group function.
-    found = M.match(_pairs(spark, sf_dir), GREEDY, strategy="auto", island_pairs=2_000)
+    # Two rounds: pairs of equal texts, each text apart; then what is left, by islands.
+    found = W.match_rows(*_ev(spark, sf_dir), GREEDY)
     return found.select("bank_idx", "gl_idx", F.round("score", 6).alias("score"))
 
 
