@@ -229,7 +229,7 @@ def match_max_cardinality(spark, sf_dir):
 
 
 def flow_value(spark, sf_dir):
-    return match_max_cardinality(spark, sf_dir).agg(F.count(F.lit(1)).alias("flow"))
+    return W.maximum_size(*_ev(spark, sf_dir, MAXFLOW), MAXFLOW).select(F.col("n").alias("flow"))
 
 
 def export_records(spark, sf_dir):
